@@ -113,7 +113,7 @@ class SequenceCache:
     changes no result.
     """
 
-    def __init__(self, resolve: Callable[[list], list[Sequence[int]]], limit: int = 1_000_000):
+    def __init__(self, resolve: Callable[[list], list[Sequence[int]]], limit: int = 500_000):
         self.resolve, self.limit = resolve, limit
         self.clear()
 
