@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skylode-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylode.llm import byte_bpe, packing, simhash, token_transducer
+from skylode.llm import byte_bpe, packing, quality_rules, simhash, token_transducer
 from skylode.llm.common import table, written
 
 
@@ -27,6 +27,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_count": op1_token_count,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_quality_rules": op3_quality_rules,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
