@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylode.llm import byte_bpe, packing, quality_rules, simhash, token_transducer
+from skylode.llm import byte_bpe, lang_cnn, packing, quality_rules, simhash, token_transducer, toxicity
 from skylode.llm.common import table, written
 
 
@@ -31,6 +31,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = lang_cnn.is_held_out()
+    model = lang_cnn.train(documents.filter(~held_out))
+    return lang_cnn.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_count": op1_token_count,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality_rules": op3_quality_rules,
+        "op6_language_id": op6_language_id,
+        "op7_toxicity": op7_toxicity,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
