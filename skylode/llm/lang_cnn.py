@@ -7,6 +7,7 @@ prediction is the mean over all of its windows, weighted by their letters.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -78,11 +79,20 @@ class ByteCnn:
             out.append(np.maximum(best + self.bias[w], 0))
         return np.concatenate(out, axis=1), where
 
+    @functools.cached_property
+    def lookups(self) -> dict[int, list[np.ndarray]]:
+        """What each byte adds to the filters of a width at each of its places."""
+        e = self.embedding.shape[1]
+        return {w: [self.embedding @ self.filters[w][i * e : (i + 1) * e] for i in range(w)] for w in self.widths}
+
     def maxima(self, windows: np.ndarray) -> np.ndarray:
+        """The maxima alone, by table lookups in place of products."""
         out = []
         for w in self.widths:
-            cols = self._columns(windows, w)
-            values = (cols.reshape(-1, cols.shape[2]) @ self.filters[w]).reshape(len(windows), -1, self.filters[w].shape[1])
+            places = WINDOW - w + 1
+            values = self.lookups[w][0].take(windows[:, :places], axis=0)
+            for i in range(1, w):
+                values += self.lookups[w][i].take(windows[:, i : i + places], axis=0)
             out.append(np.maximum(values.max(axis=1) + self.bias[w], 0))
         return np.concatenate(out, axis=1)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylode.llm import byte_bpe, lang_cnn, packing, quality_rules, simhash, token_transducer, toxicity
+from skylode.llm import byte_bpe, lang_cnn, packing, pivot_topk, quality_rules, simhash, token_transducer, toxicity
 from skylode.llm.common import table, written
 
 
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = lang_cnn.is_held_out()
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_count": op1_token_count,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality_rules": op3_quality_rules,
+        "op4_pivot_top_k": op4_pivot_top_k,
         "op6_language_id": op6_language_id,
         "op7_toxicity": op7_toxicity,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
