@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylode.llm import byte_bpe, lang_cnn, packing, pivot_topk, quality_rules, simhash, token_transducer, toxicity
+from skylode.llm import byte_bpe, chat_format, lang_cnn, packing, pivot_topk, quality_rules, simhash, token_transducer, toxicity
 from skylode.llm.common import table, written
 
 
@@ -35,6 +35,10 @@ def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = lang_cnn.is_held_out()
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality_rules": op3_quality_rules,
         "op4_pivot_top_k": op4_pivot_top_k,
+        "op5_chat_format": op5_chat_format,
         "op6_language_id": op6_language_id,
         "op7_toxicity": op7_toxicity,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
