@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylode.llm import byte_bpe, chat_format, lang_cnn, packing, pivot_topk, quality_rules, simhash, token_transducer, toxicity
+from skylode.llm import byte_bpe, chat_format, interp_lm, lang_cnn, packing, pivot_topk, quality_rules, simhash, token_transducer, toxicity
 from skylode.llm.common import table, written
 
 
@@ -55,6 +55,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interp_lm.score(table(spark, sf_dir, "documents"), interp_lm.is_held_out())
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(written(pieces, "pieces"))
@@ -70,5 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_toxicity": op7_toxicity,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_interpolated_lm": op9_interpolated_lm,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
