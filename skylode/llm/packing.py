@@ -11,7 +11,7 @@ again, round after round, as long as that saves sequences.
 from __future__ import annotations
 
 import functools
-import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,33 +38,19 @@ _PIECE = "piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """Token ids of texts, for tokenizers whose tokens never span ASCII white space.
 
-    Such a text is encoded word by word, each different word once: words are
-    joined by a special token that none of them holds, encoded in one call and
-    cut at that token again. Words that hold a special token go alone.
+    Such a text is encoded word by word, each different word once.
     """
 
     def __init__(self, source: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(source.decode())
-        self.special = [t["content"] for t in json.loads(source)["added_tokens"]]
-        self.mark = self.special[0]
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.cache = SequenceCache(self._resolve)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _resolve(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
-        texts = [w.decode() for w in words]
-        plain = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self._ids(self.mark.join([texts[i] for i in part])), np.int32)
-            for i, own in zip(part, np.split(ids, np.flatnonzero(ids == self.mark_id))):
-                out[i] = own[own != self.mark_id]
-        for i, ids in enumerate(out):
-            if ids is None:
-                out[i] = np.array(self._ids(texts[i]), np.int32)
+    def _resolve(self, words: list[bytes]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(words), 2000):
+            part = self.tokenizer.encode_batch([w.decode() for w in words[at : at + 2000]], add_special_tokens=False)
+            out += [x.ids for x in part]
         return out
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
