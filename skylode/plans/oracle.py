@@ -110,7 +110,7 @@ FROM code JOIN v c ON c.id = code, q GROUP BY code.id ORDER BY score, code.id LI
   SELECT p.id, e.id AS entry_id, round({_cos("p.vector", "e.vector")}, 6) AS similarity
   FROM (SELECT * FROM v WHERE id >= 50 AND id < 250) p, (SELECT * FROM v WHERE id < 50) e
   QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY similarity DESC, e.id) = 1)
-SELECT id, CASE WHEN similarity >= 0.3 THEN entry_id END AS entry_id, similarity FROM s""",
+SELECT id, CASE WHEN similarity >= 0.3 THEN entry_id ELSE -1 END AS entry_id, similarity FROM s""",
         "recall_at_k": f"""WITH {_V}, {_batch("SELECT * FROM v", "e")}, {_batch("SELECT * FROM v WHERE id % 2 = 0", "h")}
 SELECT query_id, count(h.id) / count(*) AS recall FROM e LEFT JOIN h USING (query_id, id) GROUP BY query_id""",
         "ndcg_at_k": f"""WITH {_bm25(texts, ["the", "and"])}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm QUALIFY r <= 10),

@@ -194,13 +194,13 @@ def adc_topk(spark, sf_dir):
 
 
 def semantic_cache_lookup(spark, sf_dir):
-    """The stored query (first 50 vectors) closest to each later probe, if close enough."""
+    """The stored query (first 50 vectors) closest to each later probe; -1 if not close enough."""
     rows = vectors(spark, sf_dir)
     stored = rows.filter(F.col("id") < 50).select(F.col("id").alias("entry_id"), F.col("vector").alias("stored"))
     probes = rows.filter((F.col("id") >= 50) & (F.col("id") < 250))
     scored = probes.crossJoin(F.broadcast(stored)).select("id", "entry_id", F.round(V.cosine(F.col("vector"), F.col("stored")), 6).alias("similarity"))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "entry_id"))).filter("n = 1")
-    return best.select("id", F.when(F.col("similarity") >= 0.3, F.col("entry_id")).alias("entry_id"), "similarity")
+    return best.select("id", F.when(F.col("similarity") >= 0.3, F.col("entry_id")).otherwise(-1).alias("entry_id"), "similarity")
 
 
 def recall_at_k(spark, sf_dir):
