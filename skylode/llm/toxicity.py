@@ -122,8 +122,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ids = [[number[w] for w in words if w in number] for words in column(batch, "words").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "toxic"), pa.array(ids, pa.list_(pa.int32()))], names=["h", "toxic", "ids"])
 
-    # At most SAMPLE short rows.
-    sample = sorted(map(tuple, seen.mapInArrow(numbered, "h long, toxic int, ids array<int>").collect()))
+    # Short rows, and SAMPLE of them even if ids repeat.
+    found = seen.mapInArrow(numbered, "h long, toxic int, ids array<int>").orderBy("h", "toxic").limit(SAMPLE)
+    sample = sorted(map(tuple, found.collect()))
     ids = [list(r[2]) for r in sample]
     grade = np.searchsorted(GRADE_ENDS, [len(i) for i in ids]) + 1
     grades = np.where([r[1] > 0 for r in sample], grade, 0)
