@@ -142,25 +142,33 @@ class Planner:
                 rows = rows.unionByName(self._scan(fresh))
         return search.maxsim(rows, request.vectors, k)
 
-    def matching(self, text: str) -> DataFrame:
-        """All rows with a query term, scored; from postings where these cover all rows."""
-        entry = self.m.indexes.get("fts")
-        if entry is None:
-            raise UnsupportedError("text search needs a full-text index")
+    def _postings(self, entry: dict, text: str) -> DataFrame | None:
+        """``id, score`` of all matches from the postings; None where these don't cover all rows."""
         fresh, whole = self.table.fresh_files(entry)
-        if fresh or not whole:
-            return search.bm25(self._scan(), text, None)
         terms = query_terms(text)
+        if fresh or not whole or not terms:
+            return None
         spark = self.table.spark
-        if not terms:
-            return self._scan().limit(0).withColumn("score", F.lit(0.0))
         wanted = spark.createDataFrame([(t,) for t in terms], "term string")
         buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()]
         hits = spark.read.parquet(self.table.files.at(entry["path"])).filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        scored = hits.join(F.broadcast(df), "term").withColumn("score", search.bm25_term(F.col("tf"), F.col("df"), F.lit(entry["n"]), F.col("dl"), F.lit(entry["avgdl"])))
-        scores = scored.groupBy("id").agg(F.sum("score").alias("score"))
-        return self._scan().join(scores, "id")
+        # One row for each query term.
+        df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
+        score = search.bm25_term(F.col("tf"), F.col("df"), F.lit(entry["n"]), F.col("dl"), F.lit(entry["avgdl"]))
+        return hits.join(df, "term").groupBy("id").agg(F.sum(score).alias("score"))
+
+    def matching(self, text: str, k: int | None) -> DataFrame:
+        """The k best rows for a text, or ``id, score`` of all matches (k=None)."""
+        entry = self.m.indexes.get("fts")
+        if entry is None:
+            raise UnsupportedError("text search needs a full-text index")
+        scores = self._postings(entry, text)
+        if scores is None:
+            return search.bm25(self._scan(), text, k)
+        if k is None:
+            return scores
+        # Rows are fetched for the k best alone.
+        return self._scan().join(F.broadcast(search.top(scores, k, descending=True)), "id")
 
     def plan(self, request: QueryRequest) -> DataFrame:
         kind = request.query_type
@@ -169,11 +177,11 @@ class Planner:
         elif kind == "multivector":
             hits = self.bag(request, request.k)
         elif kind == "fts":
-            hits = search.top(self.matching(request.text), request.k, descending=True)
+            hits = self.matching(request.text, request.k)
         else:
             depth = search.DEPTH * request.k
             leg = (self.near(request, depth), False) if request.vector is not None else (self.bag(request, depth), True)
-            fused = search.rrf([leg, (self.matching(request.text), True)], request.k, depth)
+            fused = search.rrf([leg, (self.matching(request.text, None), True)], request.k, depth)
             # k fused rows, at most.
             hits = self._scan().join(F.broadcast(fused), "id")
         return hits
