@@ -21,8 +21,9 @@ from skylode.llm.common import column, text_slices, texts_of, written
 
 #: Labelled documents in the training sample, and words in the vocabulary, at most.
 SAMPLE, VOCABULARY = 20_000, 5_000
-#: Chance that any word enters the vocabulary by accident.
-ACCIDENT = 0.01
+#: Words of fewer documents are not tested; chance that any tested word enters the
+#: vocabulary by accident.
+MIN_DOCUMENTS, ACCIDENT = 5, 0.1
 #: Highest number of different vocabulary words of grades 1, 2, ... ; more is the last grade.
 GRADE_ENDS = (2, 5)
 #: Documents of this expected severity or more are rejected.
@@ -92,7 +93,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample is the first ``SAMPLE`` labels by a hash of the id; equal texts
     count once. A word enters the vocabulary if its share of toxic documents is
-    too high for chance (Chernoff's bound, Bonferroni over all words). Labels
+    too high for chance (Chernoff's bound, Bonferroni over all tested words). Labels
     without id or value are passed over. Without toxic labels nothing is toxic.
     """
     chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -109,7 +110,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not toxic or toxic == total:
         return OrdinalModel({}, np.array([50.0]))
     rate = toxic / total
-    counts = written(seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")), "word-counts")
+    counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    counts = written(counts.filter(F.col("n") >= MIN_DOCUMENTS), "word-counts")
     share = F.col("bad") / F.col("n")
     clean = F.when(F.col("bad") < F.col("n"), (F.col("n") - F.col("bad")) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     evidence = F.when(share > rate, F.col("bad") * F.log(share / rate) + clean).otherwise(0.0)
