@@ -11,6 +11,7 @@ again, round after round, as long as that saves sequences.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,10 @@ class WordTokenizer:
     def __init__(self, source: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(source.decode())
-        self.cache = SequenceCache(self._resolve)
+        self.special = os.path.commonprefix([t["content"] for t in json.loads(source)["added_tokens"]]).encode()
+        # Where the tokenizer lower-cases, ASCII capitals may go first: fewer different words.
+        self.lower = '"Lowercase"' in json.dumps(json.loads(source)["normalizer"])
+        self.cache = SequenceCache(self._resolve, limit=1_200_000)
 
     def _resolve(self, words: list[bytes]) -> list[list[int]]:
         out = []
@@ -57,7 +61,8 @@ class WordTokenizer:
         """(ids of all texts in a row, number of ids of each text)."""
         words, counts = [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = text.split()
+            # Special tokens keep their capitals, so texts that may hold one stay as they are.
+            own = (text.lower() if self.lower and self.special not in text else text).split()
             counts[i] = len(own)
             words += own
         ids, lengths = self.cache.gather(words)
