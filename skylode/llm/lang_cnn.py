@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylode.llm.common import bytes_of, column, crc32_mod, text_slices
@@ -22,6 +22,8 @@ from skylode.llm.common import bytes_of, column, crc32_mod, text_slices
 WINDOW = 128
 #: The training sample: documents of each language, documents in all, windows of a document.
 PER_LANGUAGE, SAMPLE, SPREAD = 600, 12_000, 4
+#: Languages that are learned, at most: those of most documents.
+LANGUAGES = 200
 UNKNOWN = "und"
 
 # Letters fold to lower case, digits to one; other bytes stay.
@@ -168,10 +170,16 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     first by a hash of the id, and ``SPREAD`` windows of each. Each language has
     the same weight. Rows without text or language are passed over.
     """
-    from pyspark.sql import Window
-
-    rows = df.filter((F.octet_length(text_col) > 0) & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(text_col).alias("h2"), _windows_of(F.col(text_col)).alias("windows"))
+    rows = df.filter((F.octet_length(text_col) > 0) & F.col(lang_col).isNotNull()).withColumn("h", F.xxhash64(F.col(id_col)))
+    counted = df.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counted:
+        return None
+    # A share of each language by its count, thrice what is wanted: a frequent
+    # language sends no more rows to its ranking than a rare one.
+    share = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], min(1.0, 3 * PER_LANGUAGE / r["count"]))))
+    order = F.col("h").bitwiseAND(F.lit((1 << 63) - 1))
+    rows = rows.filter(order / float(1 << 63) < F.try_element_at(share, F.col(lang_col)))
+    rows = rows.select(F.col(lang_col).alias("lang"), order.alias("h"), F.xxhash64(text_col).alias("h2"), _windows_of(F.col(text_col)).alias("windows"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))).filter(F.col("n") <= PER_LANGUAGE)
     sample = ranked.orderBy("n", "lang").limit(SAMPLE).select("lang", "windows").collect()
     if not sample:
