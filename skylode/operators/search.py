@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +64,74 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "vect
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of the vectors of ``dim`` components, and these as rows."""
+    held = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    values = column.filter(held).flatten().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(held.to_numpy(zero_copy_only=False)), values.astype(np.float64).reshape(-1, dim)
+
+
+def query_blocks(queries: DataFrame, block: int) -> list[DataFrame]:
+    """``queries`` (``query_id, query``) dealt by a hash into parts of about ``block`` rows."""
+    n = -(-queries.count() // block)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def collected(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of one block of queries, those without a vector left out."""
+    held = queries.filter(F.size("query") > 0).select("query_id", "query").toArrow().combine_chunks()
+    dim = max((len(v) for v in held["query"].slice(0, 1).to_pylist()), default=0)
+    if not dim:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    at, x = matrix(held["query"].combine_chunks(), dim)
+    return held["query_id"].to_numpy()[at], x
+
+
+def knn_blocks(df: DataFrame, queries: DataFrame, k: int, vector_col: str = "vector", digits: int | None = None, block: int = MAX_BATCH) -> DataFrame:
+    """``knn_batch`` for any number of queries, a broadcast block of them at a time.
+
+    A matrix product finds the rows that can be among the k nearest of their Arrow
+    batch; their distances are then summed from the left, as expressions do. Rows of
+    another dimension are no hits.
+    """
+    found = [_knn_block(df, part, k, vector_col, digits) for part in query_blocks(queries, block)]
+    order = Window.partitionBy("query_id").orderBy("score", "id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _knn_block(df: DataFrame, queries: DataFrame, k: int, vector_col: str, digits: int | None) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(collected(queries))
+    near = 1e-9 if digits is None else 1.1 * 10.0**-digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q = shared.value
+        for batch in batches:
+            at, x = matrix(batch.column(1), q.shape[1])
+            ids, square = batch.column(0).to_numpy(zero_copy_only=False)[at], (x**2).sum(axis=1)
+            for i in range(0, len(q) if len(x) else 0, 128):
+                own = q[i : i + 128]
+                norms = (own**2).sum(axis=1)
+                d = norms[:, None] + square - 2 * own @ x.T
+                last = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                # Rounding errors grow with the norms; the margin is far above them.
+                margin = near + 1e-12 * (norms + square.max(initial=0, where=np.isfinite(square)))
+                a, b = np.nonzero(d <= (last + margin)[:, None])
+                score = np.zeros(len(a))
+                for j in range(q.shape[1]):
+                    score += (x[b, j] - own[a, j]) ** 2
+                # Of rows at the very same distance the k smallest ids are enough.
+                sort = np.lexsort((ids[b], score, a))
+                a, b, score = a[sort], b[sort], score[sort]
+                fresh = np.ones(len(a), bool)
+                fresh[1:] = (a[1:] != a[:-1]) | (score[1:] != score[:-1])
+                start = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
+                keep = np.arange(len(a)) - start < k
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[i + a[keep]]), pa.array(ids[b[keep]]), pa.array(score[keep])], names=["query_id", "id", "score"])
+
+    scored = df.select(F.col("id").cast("long"), vector_col).mapInArrow(run, "query_id long, id long, score double")
+    return scored.withColumn("score", _digits(F.col("score"), digits))
+
+
 def maxsim(df: DataFrame, query: Sequence[Sequence[float]], k: int, vectors_col: str = "vector", digits: int | None = None) -> DataFrame:
     """Late interaction over multivector rows, best first."""
     return top(df.withColumn("score", _digits(V.maxsim(F.col(vectors_col), query), digits)), k, descending=True)

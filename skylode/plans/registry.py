@@ -229,11 +229,26 @@ def topk_overlap(spark, sf_dir):
 # Beyond SQL: trained indexes and the table layer
 
 
-def ivf_trained_kmeans(spark, sf_dir):
+def _trained(spark, sf_dir):
+    """Rows, index, model, and the settings measured to reach the recall asked for."""
     rows = vectors(spark, sf_dir)
-    n = rows.count()
-    model = ivf.train(rows, ivf.default_partitions(n), ivf.default_sub_vectors(64))
-    return ivf.search(ivf.index(rows, model), model, query_vector(spark, sf_dir), 10, nprobes=8).select("id", "score")
+    model = ivf.train(rows, ivf.default_partitions(rows.count()), ivf.default_sub_vectors(64))
+    index = ivf.index(rows, model)
+    return rows, index, model, ivf.tune(rows, index, model, 10)
+
+
+def ivf_trained_kmeans(spark, sf_dir):
+    _, index, model, (nprobes, refine) = _trained(spark, sf_dir)
+    return ivf.search(index, model, query_vector(spark, sf_dir), 10, nprobes, refine).select("id", "score")
+
+
+def ivf_trained_recall(spark, sf_dir):
+    """Recall of ``ivf_trained_kmeans`` for each query whose id is divisible by 20."""
+    rows, index, model, (nprobes, refine) = _trained(spark, sf_dir)
+    queries = rows.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    exact = search.knn_blocks(rows, queries, 10)
+    ranks = ivf.short_list_ranks(index, model, queries, exact, nprobes)
+    return metrics.recall(ranks.filter(F.col("rank") < refine * 10), exact)
 
 
 def _scratch(spark):
@@ -284,7 +299,7 @@ def queries() -> dict[str, Query]:
         query_without_vector, list_desc_page1, list_desc_cursor_page, list_asc_cursor_page, upsert_latest_wins,
         import_append_keeps_duplicates, duplicate_id_detection, invalid_rows_filter, namespace_info, postings_stats, ivf_assign,
         ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, recall_at_k, ndcg_at_k, bench_percentiles, topk_overlap,
-        ivf_trained_kmeans, compact_roundtrip, generation_changes, table_query_modes,
+        ivf_trained_kmeans, ivf_trained_recall, compact_roundtrip, generation_changes, table_query_modes,
     )
     return {f.__name__: f for f in own}
 
