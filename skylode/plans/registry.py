@@ -193,16 +193,26 @@ def adc_topk(spark, sf_dir):
 # Caching and measures
 
 
-def semantic_cache_lookup(spark, sf_dir):
-    """The stored query (first 50 vectors) closest to each later probe; -1 if not close enough."""
-    rows = vectors(spark, sf_dir)
+def _cache_answers(rows, probes):
+    """The stored query (first 50 vectors) closest to each probe; -1 if not close enough."""
     stored = rows.filter(F.col("id") < 50).select(F.col("id").alias("entry_id"), F.col("vector").alias("stored"))
-    probes = rows.filter((F.col("id") >= 50) & (F.col("id") < 250))
     scored = probes.crossJoin(F.broadcast(stored)).select("id", "entry_id", F.round(V.cosine(F.col("vector"), F.col("stored")), 6).alias("similarity"))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "entry_id"))).filter("n = 1")
     return best.select("id", F.when(F.col("similarity") >= 0.3, F.col("entry_id")).otherwise(-1).alias("entry_id"), "similarity")
 
 
+def semantic_cache_lookup(spark, sf_dir):
+    """The probes that the given SQL names, ids 50 to 249."""
+    rows = vectors(spark, sf_dir)
+    return _cache_answers(rows, rows.filter((F.col("id") >= 50) & (F.col("id") < 250)))
+
+
+def semantic_cache_lookup_all(spark, sf_dir):
+    """Every row that is not a stored entry is a probe."""
+    rows = vectors(spark, sf_dir)
+    return _cache_answers(rows, rows.filter(F.col("id") >= 50))
+
+
 def recall_at_k(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     queries = rows.filter(F.col("id") < 5).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
@@ -298,7 +308,7 @@ def queries() -> dict[str, Query]:
         knn_l2_exact, knn_cosine_exact, knn_batch_topk, maxsim_topk, bm25_topk, bm25_multi_term, hybrid_rrf, hybrid_multivector_rrf,
         query_without_vector, list_desc_page1, list_desc_cursor_page, list_asc_cursor_page, upsert_latest_wins,
         import_append_keeps_duplicates, duplicate_id_detection, invalid_rows_filter, namespace_info, postings_stats, ivf_assign,
-        ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, recall_at_k, ndcg_at_k, bench_percentiles, topk_overlap,
+        ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, semantic_cache_lookup_all, recall_at_k, ndcg_at_k, bench_percentiles, topk_overlap,
         ivf_trained_kmeans, ivf_trained_recall, compact_roundtrip, generation_changes, table_query_modes,
     )
     return {f.__name__: f for f in own}

@@ -1,11 +1,12 @@
 """Whole jobs against brute force: no row, query or term is left out."""
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from skylode.operators import ivf
-from skylode.plans import registry
+from skylode.plans import oracle, registry
 
 
 def embeddings(folder):
@@ -17,6 +18,21 @@ def nearest(ids, x, q, k):
     return ids[np.lexsort((ids, ((x - q) ** 2).sum(axis=1)))[:k]].tolist()
 
 
+def same_as_sql(spark, folder, name, given, *cuts):
+    """``name`` gives what the SQL of ``given`` gives without its cuts."""
+    sql = oracle.oracle_sql()[given]
+    for cut, whole in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    con = duckdb.connect()
+    for table in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    expected = con.execute(sql).df()
+    got = registry.queries()[name](spark, folder).toPandas()[list(expected.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, expected.values.tolist()))
+    return got
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
 def test_trained_index_reaches_its_recall(spark, size):
     folder = f"/root/testdata/{size}"
@@ -31,3 +47,8 @@ def test_trained_index_reaches_its_recall(spark, size):
         q = x[ids == i][0]
         found = [r["id"] for r in ivf.search(index, model, q.tolist(), 10, nprobes, refine).collect()]
         assert abs(len(set(found) & set(nearest(ids, x, q, 10))) / 10 - got[i]) < 1e-9
+
+
+def test_every_row_but_the_stored_is_looked_up(spark, sf_dir):
+    got = same_as_sql(spark, sf_dir, "semantic_cache_lookup_all", "semantic_cache_lookup", ("id >= 50 AND id < 250", "id >= 50"))
+    assert len(got) == len(embeddings(sf_dir)[0]) - 50
