@@ -67,6 +67,16 @@ def knn_batch_topk(spark, sf_dir):
     return search.knn_batch(rows, queries, 10, digits=6).select("query_id", "rank", "id", "score")
 
 
+def _twentieths(rows):
+    """The queries of a whole batch: every row whose id is divisible by 20."""
+    return rows.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+
+
+def knn_batch_topk_all(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return search.knn_blocks(rows, _twentieths(rows), 10, digits=6).select("query_id", "rank", "id", "score")
+
+
 def maxsim_topk(spark, sf_dir):
     return search.maxsim(bags(spark, sf_dir), query_vectors(spark, sf_dir, 4), 10, digits=6).select("id", "score")
 
@@ -221,6 +231,13 @@ def recall_at_k(spark, sf_dir):
     return metrics.recall(half, exact)
 
 
+def recall_at_k_all(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    exact = search.knn_blocks(rows, _twentieths(rows), 10, digits=6)
+    half = search.knn_blocks(rows.filter(F.col("id") % 2 == 0), _twentieths(rows), 10, digits=6)
+    return metrics.recall(half, exact)
+
+
 def ndcg_at_k(spark, sf_dir):
     ranked = search.bm25(texts(spark, sf_dir), "the and", 10, digits=6).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     gains = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("gain"))
@@ -255,7 +272,7 @@ def ivf_trained_kmeans(spark, sf_dir):
 def ivf_trained_recall(spark, sf_dir):
     """Recall of ``ivf_trained_kmeans`` for each query whose id is divisible by 20."""
     rows, index, model, (nprobes, refine) = _trained(spark, sf_dir)
-    queries = rows.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    queries = _twentieths(rows)
     exact = search.knn_blocks(rows, queries, 10)
     ranks = ivf.short_list_ranks(index, model, queries, exact, nprobes)
     return metrics.recall(ranks.filter(F.col("rank") < refine * 10), exact)
@@ -305,10 +322,10 @@ def table_query_modes(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     own = (
-        knn_l2_exact, knn_cosine_exact, knn_batch_topk, maxsim_topk, bm25_topk, bm25_multi_term, hybrid_rrf, hybrid_multivector_rrf,
+        knn_l2_exact, knn_cosine_exact, knn_batch_topk, knn_batch_topk_all, maxsim_topk, bm25_topk, bm25_multi_term, hybrid_rrf, hybrid_multivector_rrf,
         query_without_vector, list_desc_page1, list_desc_cursor_page, list_asc_cursor_page, upsert_latest_wins,
         import_append_keeps_duplicates, duplicate_id_detection, invalid_rows_filter, namespace_info, postings_stats, ivf_assign,
-        ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, semantic_cache_lookup_all, recall_at_k, ndcg_at_k, bench_percentiles, topk_overlap,
+        ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, semantic_cache_lookup_all, recall_at_k, recall_at_k_all, ndcg_at_k, bench_percentiles, topk_overlap,
         ivf_trained_kmeans, ivf_trained_recall, compact_roundtrip, generation_changes, table_query_modes,
     )
     return {f.__name__: f for f in own}

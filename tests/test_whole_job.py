@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from skylode.operators import ivf
+from skylode.operators import ivf, search
 from skylode.plans import oracle, registry
 
 
@@ -52,3 +52,18 @@ def test_trained_index_reaches_its_recall(spark, size):
 def test_every_row_but_the_stored_is_looked_up(spark, sf_dir):
     got = same_as_sql(spark, sf_dir, "semantic_cache_lookup_all", "semantic_cache_lookup", ("id >= 50 AND id < 250", "id >= 50"))
     assert len(got) == len(embeddings(sf_dir)[0]) - 50
+
+
+@pytest.mark.parametrize("name", ["knn_batch_topk", "recall_at_k"])
+def test_every_twentieth_row_is_a_query(spark, sf_dir, name):
+    got = same_as_sql(spark, sf_dir, f"{name}_all", name, ("id < 5", "id % 20 = 0"))
+    assert set(got["query_id"]) == {i for i in embeddings(sf_dir)[0].tolist() if i % 20 == 0}
+
+
+def test_more_queries_than_a_block(spark):
+    """With ties, and rows without a whole vector."""
+    rows = [(i, [float(i // 4), 1.0]) for i in range(40)] + [(90, None), (91, [1.0]), (92, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "query_id long, query array<float>")
+    found = search.knn_blocks(df, queries, 3, block=3).collect()
+    assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found} == {(i, j + 1): (4 * i + j, 0.0) for i in range(10) for j in range(3)}
