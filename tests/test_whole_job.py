@@ -67,3 +67,8 @@ def test_more_queries_than_a_block(spark):
     queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "query_id long, query array<float>")
     found = search.knn_blocks(df, queries, 3, block=3).collect()
     assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found} == {(i, j + 1): (4 * i + j, 0.0) for i in range(10) for j in range(3)}
+
+
+def test_terms_of_one_document_are_counted(spark, sf_dir):
+    got = same_as_sql(spark, sf_dir, "postings_stats_all", "postings_stats", (" HAVING count(DISTINCT doc_id) >= 2", ""))
+    assert (got["df"] == 1).any()
