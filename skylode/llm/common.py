@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -19,6 +20,7 @@ SLICE_BYTES = 2 << 20
 
 #: Separates words: space and the controls 9 to 13. bytes.split() does the same.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,37 @@ def text_slices(batches: Iterable[pa.RecordBatch], name: str = "text", limit: in
             start = end
 
 
+def split_long(text: bytes, limit: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A long text in parts of about ``limit`` bytes, cut at white space alone (a
+    longer word stays whole): word by word, the parts read as the text does."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _SPACE.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word of all texts, words of each text, the different words).
+
+    Words are what white space (space, controls 9 to 13) separates, as bytes.split()
+    does. Nothing is made for each word in Python.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    # A blank text splits into one empty word.
+    blank = pc.equal(pc.binary_length(lists.values), 0).to_numpy(zero_copy_only=False)
+    coded = lists.values.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    if blank.any():
+        counts[np.repeat(np.arange(len(counts)), counts)[blank]] = 0
+        codes = codes[~blank]
+    return codes, counts, coded.dictionary
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -125,6 +158,13 @@ class SequenceCache:
 
     def gather(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, number of ids of each piece)."""
+        codes = self.codes_of(pieces)
+        lengths = self.lengths[codes]
+        return self.flat[runs(self.starts[codes], lengths)], lengths
+
+    def codes_of(self, pieces: list) -> np.ndarray:
+        """Each piece's place in ``starts`` and ``lengths``, for as long as no other
+        pieces are asked for."""
         if len(self.codes) > self.limit:
             self.clear()
         codes = np.array(list(map(self.codes.__getitem__, pieces)), np.int64)
@@ -135,5 +175,4 @@ class SequenceCache:
             self.lengths = np.concatenate((self.lengths, lengths))
             self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))))
             self.codes.new = []
-        lengths = self.lengths[codes]
-        return self.flat[runs(self.starts[codes], lengths)], lengths
+        return codes

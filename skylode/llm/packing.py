@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylode.llm.common import SequenceCache, bytes_of, column, runs, sums_of, text_slices, written
+from skylode.llm.common import SLICE_BYTES, SequenceCache, column, runs, split_long, sums_of, text_slices, word_codes, written
 
 #: Sequences' worth of tokens in one packing group; bounds a group's memory.
 GROUP_SEQUENCES = 1024
@@ -32,6 +32,13 @@ GROUP_SEQUENCES = 1024
 GROUPS_PER_TASK = 8
 #: Sequences that a group above its bound gives away for each one it is above.
 SHARE = 8
+#: Bytes of text that are tokenized in one step.
+SLICE = 6 << 20
+
+#: A pre-tokenizer's pattern that keeps runs of letters and of marks apart.
+_LETTERS_APART = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks between plain letters or digits (or the end of a word).
+_MARKS = r"([a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}\s]|$)"
 
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -45,28 +52,45 @@ class WordTokenizer:
     def __init__(self, source: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(source.decode())
-        self.special = os.path.commonprefix([t["content"] for t in json.loads(source)["added_tokens"]]).encode()
+        spec = json.loads(source)
+        self.special = os.path.commonprefix([t["content"] for t in spec["added_tokens"]])
         # Where the tokenizer lower-cases, ASCII capitals may go first: fewer different words.
-        self.lower = '"Lowercase"' in json.dumps(json.loads(source)["normalizer"])
-        self.cache = SequenceCache(self._resolve, limit=1_200_000)
-
-    def _resolve(self, words: list[bytes]) -> list[list[int]]:
+        self.lower = '"Lowercase"' in json.dumps(spec["normalizer"])
+        # Where it parts letters from marks, so may we, again for fewer different words. Marks
+        # next to an apostrophe stay (it begins contractions), as do those next to other
+        # characters than plain letters and digits (they may combine).
+        self.parts = any(json.dumps(_LETTERS_APART)[1:-1] in json.dumps(p, ensure_ascii=True) for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []))
+        self.cache = SequenceCache(self._resolve, limit=1_000_000)
+
+    def _resolve(self, words: list[str]) -> list[list[int]]:
         out = []
         for at in range(0, len(words), 2000):
-            part = self.tokenizer.encode_batch([w.decode() for w in words[at : at + 2000]], add_special_tokens=False)
-            out += [x.ids for x in part]
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
         return out
 
-    def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _prepared(self, texts: pa.Array) -> pa.Array:
+        own = pc.ascii_lower(texts) if self.lower else texts
+        if self.lower and self.parts:
+            own = pc.replace_substring_regex(own, _MARKS, r"\1 \2 \3")
+        if not self.special:
+            return own
+        # Texts that may hold a special token stay as they are.
+        return pc.if_else(pc.match_substring(texts, self.special), texts, own)
+
+    def encode_batch(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        words, counts = [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            # Special tokens keep their capitals, so texts that may hold one stay as they are.
-            own = (text.lower() if self.lower and self.special not in text else text).split()
-            counts[i] = len(own)
-            words += own
-        ids, lengths = self.cache.gather(words)
-        return ids, sums_of(lengths, counts)
+        texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if len(texts) == 1 and pc.binary_length(texts)[0].as_py() > 2 * SLICE_BYTES:
+            parts = [self._encode(pa.array([p], pa.string()))[0] for p in split_long(texts[0].as_py().encode())]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts, words = word_codes(self._prepared(texts))
+        places = self.cache.codes_of(words.to_pylist())
+        starts, lengths = self.cache.starts[places][codes], self.cache.lengths[places][codes]
+        return self.cache.flat[runs(starts, lengths)], sums_of(lengths, counts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -97,8 +121,8 @@ def tokenize(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _tokenizer(source.value)
-        for part in text_slices(batches):
-            ids, lengths = codec.encode_batch(bytes_of(part))
+        for part in text_slices(batches, limit=SLICE):
+            ids, lengths = codec.encode_batch(column(part, "text"))
             # Each document's ids and then its end.
             full = np.full(len(ids) + len(lengths), end_id, "<u4")
             ends = np.cumsum(lengths + 1)
