@@ -19,16 +19,18 @@ q_repeated AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM q_windows) WHERE n > 1),
 q_covered AS (SELECT r, count(DISTINCT i + j) AS n FROM q_repeated, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
 q_counts AS (
-  SELECT q_words.r, doc_id, stratum, lang, len(w)::BIGINT AS n_words,
+  SELECT q_words.r, doc_id, stratum, lang, text, len(w)::BIGINT AS n_words,
          coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(q_covered.n, 0)::BIGINT AS n_repeat_words,
          len(l) AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals
   FROM q_words LEFT JOIN q_covered USING (r)),
 q_base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q_counts),
-q_held AS (
-  SELECT q_base.*, quality FROM q_base JOIN
-    (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+q_trials AS (
+  SELECT * FROM (SELECT q_base.*, md5(text) AS h FROM q_base WHERE NOT base_failed) JOIN
+    (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, stratum) = 1),
+q_held AS (SELECT * FROM q_trials QUALIFY row_number() OVER (PARTITION BY stratum, h ORDER BY quality) = 1),
 q_cells AS (SELECT * FROM (VALUES {_CELLS}) t(rule, cut)),
 q_tested AS (
   SELECT stratum, rule, cut, count(*) FILTER (quality >= 1) AS n, count(*) FILTER (quality >= 1 AND {_SCORE} > cut) AS good,

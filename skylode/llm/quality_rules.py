@@ -8,7 +8,9 @@ the cutoff is certified if P(Binomial(n, limit) <= k) <= delta / tests. The
 limit is ``risk`` shared out among the rules, ``tests`` is strata times rules
 (Bonferroni; within one rule cutoffs are nested and tested from the loosest on,
 which needs no correction). So with probability 1 - delta, no stratum loses more
-than the share ``risk`` of its good documents to the rules.
+than the share ``risk`` of its good documents to the rules. The tail needs
+independent trials, so a document id counts once, whatever its rows, and so does
+a text of a stratum, whatever its copies.
 Of the certified cutoffs the one with the best balance of rejected bad and good
 labelled documents is used, of equal ones the loosest. A stratum with too few
 labels has no certified cutoff and no rule applies there.
@@ -103,12 +105,17 @@ def calibrate(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     """One row for each stratum with a certified cutoff: ``stratum`` and a column for
     each rule (null: not certified).
 
-    ``rows``: ``doc_id, stratum, f``; ``labels``: ``doc_id, quality`` (1 good, 0
-    bad). Labels without id or quality are passed over; of several labels of a
-    document the lowest counts. Documents that fail the base rules take no part.
+    ``rows``: ``doc_id, stratum, h`` (a digest of the text), ``f``; ``labels``:
+    ``doc_id, quality`` (1 good, 0 bad). Labels without id or quality are passed
+    over; of several labels of a document, or of a text, the lowest counts. Of rows
+    of one id the first by digest and stratum is the trial. Documents that fail the
+    base rules take no part.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = rows.filter(~base_failed()).select("doc_id", "stratum", *(_score(r).alias(r) for r in RULES)).join(known, "doc_id")
+    trial = F.struct("h", "stratum", *(_score(r).alias(r) for r in RULES))
+    labelled = rows.filter(~base_failed()).select("doc_id", trial.alias("x")).join(known, "doc_id")
+    held = labelled.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality"))
+    held = held.groupBy("x").agg(F.min("quality").alias("quality")).select("x.*", "quality")
     good = F.col("quality") >= 1
     over = lambda r, c, who: F.count(F.when(who & (F.col(r) > c), 1))
     cells = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), over(r, c, good).alias("good"), over(r, c, ~good).alias("bad")) for r, cuts in RULES.items() for c in cuts]
@@ -143,18 +150,24 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     A null or empty text has no words and fails the base rules. A null stratum is
     a stratum of its own. Repeated rows get the same verdict; null ids are passed
     on and take no part in the calibration. No labels: only the base rules apply.
-    Other columns of ``df`` are not read.
+    No rows give no rows. Texts are counted whole, whatever their length, each
+    within its row. Of cutoffs of equal gain the loosest is taken. Other columns of
+    ``df`` are not read.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    rows = written(add_features(rows).drop("text"), "features")
+    rows = written(add_features(rows).withColumn("h", _digest()).drop("text"), "features")
     return decide(rows, calibrate(rows, labels)).select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that ``judge`` keeps, all columns as they are."""
     rows = df.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    rows = written(add_features(rows).drop("text"), "features")
-    return decide(rows, calibrate(rows.select("doc_id", "stratum", "f"), labels)).filter("kept").select("doc.*")
+    rows = written(add_features(rows).withColumn("h", _digest()).drop("text"), "features")
+    return decide(rows, calibrate(rows.select("doc_id", "stratum", "h", "f"), labels)).filter("kept").select("doc.*")
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _stratum(name: str) -> Column:

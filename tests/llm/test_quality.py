@@ -66,3 +66,20 @@ def test_keep_good_keeps_columns(messy, labels, empty):
     ids = [r["doc_id"] for r in quality_rules.judge(messy, labels).filter("kept").collect()]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(ids)
     assert quality_rules.keep_good(empty, labels).count() == 0
+
+
+def test_copies_are_no_trials_of_their_own(spark):
+    good = " ".join(f"w{i}#" for i in range(60))
+    bad = [(9000 + i, " ".join(f"v{j}#" for j in range(60)) + f" {i}", "en") for i in range(100)]
+    repeated = [(1, good, "en")] * 3000  # rows of one id
+    copies = [(i, good, "en") for i in range(3000)]  # ids of one text
+    for rows in (repeated, copies):
+        docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+        labels = docs.select("doc_id", (F.col("doc_id") < 9000).cast("int").alias("quality")).distinct()
+        assert quality_rules.judge(docs, labels).filter("not kept").count() == 0
+
+
+def test_no_python_on_the_main_path(documents, labels):
+    for df in (quality_rules.judge(documents, labels), quality_rules.add_features(documents)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "RDD"))
