@@ -11,6 +11,7 @@ chunk by chunk, the chunks' matrices giving the states at their borders.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ MERGE, RELABEL, NAME, INSERT = 1.0, 4.0, 0.5, 3.0
 CHUNK = 4096
 
 KEEP, MERGED = "keep", "merge"
+_MARKER, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
+_TURN = re.compile(r"<\|(system|user|assistant)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 _LEGAL = np.full((4, 4), np.inf)
 for _a, _b in LEGAL:
     _LEGAL[_a, _b] = 0.0
@@ -91,14 +94,30 @@ def role_numbers(names: list[str | None]) -> np.ndarray:
     return np.array([ALIASES.get((n or "").strip().lower(), START) for n in names], np.int64)
 
 
+def escaped(text: str) -> str:
+    """``text`` without anything that reads as a marker: each ``<|`` gets a backslash
+    between its characters, and one more if it has some there."""
+    return _MARKER.sub(r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    """What ``escaped`` was given."""
+    return _ESCAPED.sub(r"<\1|", text)
+
+
+def parsed(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a rendered conversation; merged texts stay joined."""
+    return [(role, unescaped(text)) for role, text in _TURN.findall(rendered)]
+
+
 def _turns(roles: np.ndarray, texts: list[str | None], entry: int, leave: int, first: int, last: bool) -> list[tuple]:
     """(order_key, role, action, text, rendered) of the output rows of one chunk."""
     out, state = [], entry
-    opens = lambda s, new, text: ("<|end|>\n" if s != START else "") + f"<|{NAMES[new]}|>\n{text}"
+    opens = lambda s, new, text: ("<|end|>\n" if s != START else "") + f"<|{NAMES[new]}|>\n{escaped(text)}"
     for i, (role, text, new) in enumerate(zip(roles, texts, path(roles, entry, leave))):
         key, text, how = 3 * (first + i), text or "", int(HOW[role, state, new])
         if how == 1:
-            out.append((key + 1, NAMES[new], MERGED, text, "\n" + text))
+            out.append((key + 1, NAMES[new], MERGED, text, "\n" + escaped(text)))
         else:
             if how >= 2:
                 out.append((key, NAMES[how - 2], "insert", "", opens(state, how - 2, "")))
@@ -120,7 +139,8 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     One row for each input turn (action keep, relabel or merge) and each inserted
     empty turn (insert). ``rendered``, joined in the order of ``order_key``, is the
-    conversation's chat text. Turns are ordered by turn, role and text, nulls
+    conversation's chat text, in which texts are ``escaped`` so that none can pass
+    for a marker; ``parsed`` reads it back. Turns are ordered by turn, role and text, nulls
     first; equal rows are turns of their own (and get merged). A null or unknown
     role takes any role cheaply, a null text is empty, null conversation ids form
     one conversation. No rows give no rows; other columns are not read.
