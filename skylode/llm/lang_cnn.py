@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylode.llm.common import bytes_of, column, crc32_mod, text_slices
+from skylode.llm.common import bytes_of, column, crc32_mod, text_slices, written
 
 #: Bytes in a window; the last one of a text is padded with zeros.
 WINDOW = 128
-#: The training sample: documents of each language, documents in all, windows of a document.
-PER_LANGUAGE, SAMPLE, SPREAD = 600, 12_000, 4
-#: Languages that are learned, at most: those of most documents.
-LANGUAGES = 200
+#: The training sample: documents of a language, at most, and windows of a document. Of
+#: many languages each gets its share of SAMPLE documents, but LEAST at least: every
+#: language is learned, however many there are.
+PER_LANGUAGE, SAMPLE, LEAST, SPREAD = 600, 12_000, 8, 4
+#: Up to so many languages, their shares are broadcast.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 # Letters fold to lower case, digits to one; other bytes stay.
@@ -104,34 +106,43 @@ class ByteCnn:
         odds = np.exp(logits)
         return odds / odds.sum(axis=1, keepdims=True)
 
+    def loss(self, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> float:
+        """Weighted mean cross-entropy."""
+        odds = self.probabilities(self.pooled(windows)[0])[np.arange(len(target)), target]
+        return float(-(weight * np.log(odds)).sum() / weight.sum())
+
+    def params(self) -> list[np.ndarray]:
+        return [self.embedding, self.dense, self.offset, *(self.filters[w] for w in self.widths), *(self.bias[w] for w in self.widths)]
+
+    def slopes(self, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """The loss' slope by each of ``params``; it flows through the maxima alone."""
+        pooled, where = self.pooled(windows)
+        error = self.probabilities(pooled)
+        error[np.arange(len(target)), target] -= 1
+        error *= (weight / weight.sum())[:, None].astype(error.dtype)
+        back = (error @ self.dense.T) * (pooled > 0)
+        embedding, filters, bias = np.zeros_like(self.embedding), [], []
+        at, e = 0, self.embedding.shape[1]
+        for w in self.widths:
+            f = self.filters[w].shape[1]
+            own, at = back[:, at : at + f], at + f
+            # The bytes under each filter's best position: windows x filters x width.
+            bytes_ = np.take_along_axis(windows[:, None, :], where[w][:, :, None] + np.arange(w), axis=2)
+            filters.append(np.einsum("nf,nfk->kf", own, self.embedding[bytes_].reshape(len(windows), f, w * e)))
+            bias.append(own.sum(axis=0))
+            np.add.at(embedding, bytes_.ravel(), (own[:, :, None] * self.filters[w].T[None]).reshape(-1, e))
+        return [embedding, pooled.T @ error, error.sum(axis=0), *filters, *bias]
+
     def fit(self, windows: np.ndarray, target: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 64, seed: int = 11) -> None:
-        """Adam on the weighted cross-entropy; gradients flow through the maxima alone."""
+        """Adam on the weighted cross-entropy."""
         r = np.random.default_rng(seed)
-        params = [self.embedding, self.dense, self.offset, *self.filters.values(), *self.bias.values()]
+        params = self.params()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        e, step = self.embedding.shape[1], 0
+        step = 0
         for _ in range(epochs):
             for rows in np.array_split(r.permutation(len(windows)), max(1, len(windows) // batch)):
-                x, y = windows[rows], target[rows]
-                pooled, where = self.pooled(x)
-                error = self.probabilities(pooled)
-                error[np.arange(len(y)), y] -= 1
-                error *= (weight[rows] / weight[rows].sum())[:, None].astype(np.float32)
-                back = (error @ self.dense.T) * (pooled > 0)
-                grads = {id(self.dense): pooled.T @ error, id(self.offset): error.sum(axis=0), id(self.embedding): np.zeros_like(self.embedding)}
-                at = 0
-                for w in self.widths:
-                    f = self.filters[w].shape[1]
-                    own, at = back[:, at : at + f], at + f
-                    # The bytes under each filter's best position: windows x filters x width.
-                    bytes_ = np.take_along_axis(x[:, None, :], where[w][:, :, None] + np.arange(w), axis=2)
-                    grads[id(self.filters[w])] = np.einsum("nf,nfk->kf", own, self.embedding[bytes_].reshape(len(x), f, w * e))
-                    grads[id(self.bias[w])] = own.sum(axis=0)
-                    spread = own[:, :, None] * self.filters[w].T[None]
-                    np.add.at(grads[id(self.embedding)], bytes_.ravel(), spread.reshape(-1, e))
                 step += 1
-                for p, m, v in zip(params, first, second):
-                    g = grads[id(p)]
+                for p, m, v, g in zip(params, first, second, self.slopes(windows[rows], target[rows], weight[rows])):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -166,24 +177,26 @@ def _windows_of(text: Column) -> Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
     """Learns from a bounded sample of labelled texts; None if there are none.
 
-    Up to ``PER_LANGUAGE`` documents of each language and ``SAMPLE`` in all, the
-    first by a hash of the id, and ``SPREAD`` windows of each. Each language has
-    the same weight. Rows without text or language are passed over.
+    Up to ``PER_LANGUAGE`` documents of each language (fewer where there are many
+    languages, never under ``LEAST``), the first by a hash of id and text, and
+    ``SPREAD`` windows of each. Every language with a text is learned; each has the
+    same weight. Rows without text or language are passed over.
     """
-    rows = df.filter((F.octet_length(text_col) > 0) & F.col(lang_col).isNotNull()).withColumn("h", F.xxhash64(F.col(id_col)))
-    counted = df.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counted:
-        return None
-    # A share of each language by its count, thrice what is wanted: a frequent
-    # language sends no more rows to its ranking than a rare one.
-    share = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], min(1.0, 3 * PER_LANGUAGE / r["count"]))))
-    order = F.col("h").bitwiseAND(F.lit((1 << 63) - 1))
-    rows = rows.filter(order / float(1 << 63) < F.try_element_at(share, F.col(lang_col)))
-    rows = rows.select(F.col(lang_col).alias("lang"), order.alias("h"), F.xxhash64(text_col).alias("h2"), _windows_of(F.col(text_col)).alias("windows"))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))).filter(F.col("n") <= PER_LANGUAGE)
-    sample = ranked.orderBy("n", "lang").limit(SAMPLE).select("lang", "windows").collect()
-    if not sample:
+    order = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 63) - 1))
+    rows = df.filter((F.octet_length(text_col) > 0) & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
+    counted = written(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.min("h").alias("first")), "languages")
+    n = counted.count()
+    if not n:
         return None
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // n))
+    # A share of each language by its count, thrice what is wanted, and its first row: a
+    # frequent language sends no more rows to its ranking than a rare one.
+    shares = counted.select("lang", "first", (F.lit(3.0 * each) / F.col("rows")).alias("share"))
+    rows = rows.join(F.broadcast(shares) if n <= BROADCAST_LANGUAGES else shares, "lang")
+    rows = rows.filter((F.col("h") / float(1 << 63) < F.col("share")) | (F.col("h") == F.col("first")))
+    rows = rows.select("lang", "h", F.xxhash64("text").alias("h2"), _windows_of(F.col("text")).alias("windows"))
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))).filter(F.col("n") <= each)
+    sample = ranked.select("lang", "windows").collect()
     languages = sorted({r["lang"] for r in sample})
     number = {lang: i for i, lang in enumerate(languages)}
     pairs = [(w, number[r["lang"]]) for r in sample for w in {bytes(w) for w in r["windows"]}]
@@ -200,9 +213,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(df: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for every whole text.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every
-    text if there is no model. Only the text is read; repeated rows give
-    repeated results and null ids are passed on.
+    A text that is null, empty or has no letter is ``und`` with score 0, as is every
+    text if there is no model. Long texts are read whole, window by window. Of
+    equally probable languages the first by name is given. Only the text is read;
+    repeated rows give repeated results, null ids are passed on, no rows give none.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
