@@ -26,6 +26,67 @@ def test_lookups_equal_products():
     assert np.allclose(net.maxima(x), net.pooled(x)[0], atol=1e-5)
 
 
+def plain_network(net, text):
+    """Mean over the windows of a text, every filter at every place, one at a time."""
+    folded = [b + 32 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in text]
+    shares, total = np.zeros(len(net.languages)), 0.0
+    for at in range(0, max(len(folded), 1), lang_cnn.WINDOW):
+        window = folded[at : at + lang_cnn.WINDOW]
+        letters = sum(97 <= b < 123 or b >= 128 for b in window) + 1e-3
+        window += [0] * (lang_cnn.WINDOW - len(window))
+        pooled = []
+        for w in net.widths:
+            for f in range(net.filters[w].shape[1]):
+                places = [sum(float(net.embedding[window[i + j]] @ net.filters[w][j * 8 : j * 8 + 8, f]) for j in range(w)) for i in range(lang_cnn.WINDOW - w + 1)]
+                pooled.append(max(0.0, max(places) + float(net.bias[w][f])))
+        odds = np.exp(np.array(pooled) @ net.dense + net.offset)
+        shares += letters * odds / odds.sum()
+        total += letters
+    return shares / total
+
+
+def test_network_as_a_plain_one():
+    net = lang_cnn.ByteCnn.start(["a", "b", "c"])
+    r = np.random.default_rng(2)
+    for b in net.bias.values():
+        b += r.normal(size=b.shape).astype(np.float32)
+    texts = ["Héllo 42 wörld".encode(), b"x", b"The quick brown Fox. " * 20]
+    best, odds = net.predict(texts)
+    for text, i, p in zip(texts, best, odds):
+        plain = plain_network(net, text)
+        assert int(plain.argmax()) == i and abs(plain[i] - p) < 1e-4
+
+
+def test_network_slopes_by_differences():
+    net = lang_cnn.ByteCnn.start(["a", "b"], f=3, widths=(2, 3))
+    r = np.random.default_rng(4)
+    for name in ("embedding", "dense", "offset"):
+        setattr(net, name, getattr(net, name).astype(float))
+    net.filters = {w: x.astype(float) for w, x in net.filters.items()}
+    net.bias = {w: x.astype(float) + 0.3 for w, x in net.bias.items()}
+    x, y, weight = r.integers(0, 255, (6, lang_cnn.WINDOW)).astype(np.uint8), r.integers(0, 2, 6), r.uniform(0.5, 2, 6)
+    for p, slope in zip(net.params(), net.slopes(x, y, weight)):
+        flat, own = p.reshape(-1), slope.reshape(-1)
+        for i in {*np.argsort(-np.abs(own))[:5].tolist(), *r.integers(0, len(flat), 5).tolist()}:
+            old = flat[i]
+            losses = []
+            for step in (1e-5, -1e-5):
+                flat[i] = old + step
+                losses.append(net.loss(x, y, weight))
+            flat[i] = old
+            assert abs((losses[0] - losses[1]) / 2e-5 - own[i]) < 1e-5
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_cnn, "LEAST", 1)
+    monkeypatch.setattr(lang_cnn.ByteCnn, "fit", lambda *_: None)
+    names = [f"l{i:03d}" for i in range(250)]
+    rows = [(i, n, f"text {i} {k}") for i, n in enumerate(names) for k in range(1 + 300 * (i == 0))] + [(None, "same", "same")] * 5000 + [(7, "never", None), (8, "never", "")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    monkeypatch.setattr(lang_cnn, "SAMPLE", 500)
+    assert lang_cnn.train(df).languages == [*names, "same"]
+
+
 def test_language_of_messy_rows(messy, empty, documents):
     model = lang_cnn.train(documents)
     found = by_id(lang_cnn.predict(messy, model))
@@ -56,6 +117,64 @@ def test_ordinal_fit_orders_severity():
     assert severity[0] < 0.5 < severity[1] < severity[2] and grade.tolist() == [0, 1, 2]
 
 
+def test_toxic_words_of_every_language(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(documents, labels.filter("doc_id % 10 <> 1"))
+    rows = toxicity.score(documents, model).join(documents.select("doc_id", "lang"), "doc_id").join(labels.filter("doc_id % 10 = 1").withColumnRenamed("toxic", "label"), "doc_id").collect()
+    for lang in {r["lang"] for r in rows}:
+        bad, good = ([r["toxic"] for r in rows if r["lang"] == lang and (r["label"] > 0) == x] for x in (True, False))
+        assert not bad or np.mean(bad) >= 0.4, lang  # five documents in the rarest
+        assert np.mean(good) < 0.03, lang
+
+
+def test_ordinal_slopes_and_severity_by_hand():
+    r = np.random.default_rng(3)
+    rows = [sorted(set(r.integers(0, 5, r.integers(0, 4)).tolist())) for _ in range(40)]
+    grades = r.integers(0, 4, 40)
+    doc = np.array([d for d, row in enumerate(rows) for _ in row])
+    word = np.array([i for row in rows for i in row])
+    w, free = r.normal(size=5), r.normal(size=3)
+
+    def plain(w, free):
+        theta = [free[0], free[0] + math.exp(free[1]), free[0] + math.exp(free[1]) + math.exp(free[2])]
+        total = -0.15 * sum(x * x for x in w)
+        for row, g in zip(rows, grades):
+            over = [1.0, *(1 / (1 + math.exp(t - sum(w[i] for i in row))) for t in theta), 0.0]
+            total += math.log(over[g] - over[g + 1])
+        return total
+
+    value, by_w, by_free = toxicity.likelihood(w, free, doc, word, grades, 0.3)
+    assert abs(value - plain(w, free)) < 1e-9
+    for p, slope in ((w, by_w), (free, by_free)):
+        for i in range(len(p)):
+            step = np.zeros_like(p)
+            step[i] = 1e-6
+            up, down = (plain(w + s * step, free) if p is w else plain(w, free + s * step) for s in (1, -1))
+            assert abs((up - down) / 2e-6 - slope[i]) < 1e-4
+    model = toxicity.OrdinalModel({"a": 1.5, "b": -0.5}, np.array([0.2, 1.0]))
+    severity, grade = model.severity(["A b, b!", "c", ""])
+    over = [1 / (1 + math.exp(t - 1.0)) for t in (0.2, 1.0)]
+    assert abs(severity[0] - sum(over)) < 1e-12 and severity[1:].tolist() == [0, 0]
+    parts = [1 - over[0], over[0] - over[1], over[1]]
+    assert grade.tolist() == [parts.index(max(parts)), 0, 0]
+
+
+def test_grades_are_thirds_of_the_evidence():
+    toxic = np.array([True, False, True, True, True, False, True, True])
+    evidence = np.array([1.0, 99, 2, 3, 4, -5, 5, 6])
+    assert toxicity.grades_of(toxic, evidence).tolist() == [1, 0, 1, 1, 2, 0, 2, 3]
+    assert toxicity.grades_of(toxic, np.ones(8)).tolist() == [1, 0, 1, 1, 1, 0, 1, 1]
+    assert toxicity.grades_of(~toxic & False, evidence).tolist() == [0] * 8
+
+
+def test_without_a_vocabulary_nothing_is_toxic(spark):
+    docs = spark.createDataFrame([(i, f"hello word{i}") for i in range(10)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 7).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs, model).filter("toxic or severity > 0").count() == 0
+
+
 def test_toxicity_of_messy_rows(messy, empty, labels):
     model = toxicity.OrdinalModel({"lorem": 9.0}, np.array([3.0, 5.0]))
     found = by_id(toxicity.score(messy, model))
