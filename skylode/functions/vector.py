@@ -62,15 +62,3 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - cosine(a, b)
 
-
-def maxsim(vectors: Column, query: Sequence[Sequence[float]]) -> Column:
-    """Late interaction: the best cosine of each query vector with any of a row's
-    vectors, summed over the query vectors. Null if no vector has a direction."""
-
-    def best(q: Sequence[float]) -> Column:
-        return F.array_max(F.transform(vectors, lambda d: cosine(d, _literal(q))))
-
-    total = F.lit(0.0)
-    for q in query:
-        total = total + best(q)
-    return total

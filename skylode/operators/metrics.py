@@ -33,3 +33,15 @@ def ndcg(ranked: DataFrame, gains: DataFrame, k: int) -> DataFrame:
     best = gains.orderBy(F.desc("gain"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gain"), "id")))
     ideal = best.agg(F.coalesce(F.sum(worth), F.lit(0.0)).alias("idcg"))
     return got.crossJoin(ideal).select(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
+
+
+def mean_average_precision(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """``map`` at k of rankings (``query_id, id, rank``), with the relevant rows
+    (``query_id, id``) of each. A query's precisions at its relevant hits are summed and
+    divided by its relevant rows, by k if these are more; a query without any counts 0."""
+    hits = ranked.filter(F.col("rank") <= k).join(relevant.select("query_id", "id").distinct(), ["query_id", "id"])
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    got = hits.select("query_id", (nth / F.col("rank")).alias("precision")).groupBy("query_id").agg(F.sum("precision").alias("total"))
+    wanted = relevant.select("query_id", "id").distinct().groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).alias("wanted"))
+    each = ranked.select("query_id").distinct().join(got, "query_id", "left").join(wanted, "query_id", "left")
+    return each.agg(F.coalesce(F.avg(F.coalesce(F.col("total") / F.col("wanted"), F.lit(0.0))), F.lit(0.0)).alias("map"))

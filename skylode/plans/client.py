@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 from collections.abc import Sequence
 from threading import Condition
+from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 
@@ -12,7 +14,7 @@ from skylode.errors import EngineError, StorageError, UnsupportedError, Validati
 from skylode.plans.query import Hit, QueryRequest, SemanticOptions
 from skylode.plans.service import Service
 from skylode.sources import names
-from skylode.sources.arrow_import import MAX_BYTES
+from skylode.sources.arrow_import import MAX_BYTES, Limited
 from skylode.sources.table import Info, ListPage, Store
 
 
@@ -22,7 +24,6 @@ class Client:
     def __init__(self, spark: SparkSession, url: str):
         self.service = Service(Store.open(spark, url))
         self._open, self._running, self._changed = True, 0, Condition()
-        self._fts: dict[str, bool] = {}
 
     def __enter__(self) -> Client:
         return self
@@ -73,7 +74,6 @@ class Collection:
                     raise ValidationError("documents must be dicts")
                 if unknown := set(d) - {"id", "vector", "vectors", "text"}:
                     raise ValidationError(f"unknown fields {sorted(unknown)}")
-            self.client._fts[ns] = False
             return service.upsert(ns, list(documents))
 
         return self._do(tenant, work)
@@ -96,21 +96,21 @@ class Collection:
         def work(service: Service, ns: str) -> list[Hit]:
             semantic = None if min_similarity is None else SemanticOptions(True, min_similarity)
             table = service.store.table(ns)
-            if text is not None and not self.client._fts.get(ns) and (m := table.existing()) is not None and m.files:
-                entry = m.indexes.get("fts")
-                if entry is None or table.fresh_files(entry)[0] or not table.fresh_files(entry)[1]:
-                    service.create_fts_index(ns)
-                self.client._fts[ns] = True
+            # Rows that come later are scanned beside the index, until compact() takes them in.
+            if text is not None and (m := table.existing()) is not None and m.segments and "fts" not in m.indexes:
+                service.create_fts_index(ns)
             return service.query(ns, QueryRequest(vector, vectors, text, limit, nprobes, include_vector, semantic)).hits
 
         return self._do(tenant, work)
 
-    def import_arrow(self, data: bytes, tenant: str | None = None, max_bytes: int = MAX_BYTES) -> int:
+    def import_arrow(self, data: bytes | str | BinaryIO, tenant: str | None = None, max_bytes: int = MAX_BYTES) -> int:
+        """Imports an Arrow stream: bytes, a path, or an open file, read as it is needed."""
+
         def work(service: Service, ns: str) -> int:
-            if max_bytes and len(data) > max_bytes:
+            if isinstance(data, bytes) and max_bytes and len(data) > max_bytes:
                 raise ValidationError(f"the stream has over {max_bytes} bytes")
-            self.client._fts[ns] = False
-            return service.import_arrow(ns, io.BytesIO(data))
+            with io.BytesIO(data) if isinstance(data, bytes) else open(data, "rb") if isinstance(data, str) else contextlib.nullcontext(data) as source:
+                return service.import_arrow(ns, Limited(source, max_bytes) if max_bytes else source)
 
         return self._do(tenant, work)
 

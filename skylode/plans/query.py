@@ -7,18 +7,23 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from skylode.errors import UnsupportedError, ValidationError
 from skylode.functions.text import query_terms
 from skylode.operators import ivf, search
-from skylode.sources.manifest import Manifest
-from skylode.sources.table import TERM_BUCKETS, Table, schema_for
+from skylode.sources import rows as row_ops
+from skylode.sources.manifest import DataFile, Manifest
+from skylode.sources.table import Table, schema_for
 
 MIN_SIMILARITY = 0.995
+#: Rows that a multivector index names for each hit wanted; these are scored exactly.
+REFINE = 10
 
 
 @dataclass(frozen=True)
@@ -102,89 +107,109 @@ def validate(request: QueryRequest, m: Manifest) -> None:
 
 class Planner:
     """Builds one DataFrame for a request: index probes where an index covers the
-    rows, scans of the files that no index covers yet."""
+    rows, scans of the files that no index covers yet. Rows that an upsert has replaced
+    since an index was built are taken off its answers.
+
+    Rows are known by ``id`` and ``_row``, a digest: imports may repeat an id.
+    """
 
     def __init__(self, table: Table, m: Manifest):
         self.table, self.m = table, m
+        self.columns = schema_for(m.kind, m.has_ingested_at).names
+
+    def _scan(self, files: list[DataFile] | None = None) -> DataFrame:
+        return self.table.scan(self.m, files).withColumn("_row", row_ops.digest())
 
-    def _scan(self, paths: list[str] | None = None) -> DataFrame:
-        schema = schema_for(self.m.kind, self.m.has_ingested_at)
-        paths = [f.path for f in self.m.files] if paths is None else paths
-        return self.table.spark.read.schema(schema).parquet(*(self.table.files.at(p) for p in paths))
+    def _parts(self, entry: dict) -> list[DataFrame]:
+        return [self.table.unreplaced(self.m, self.table.frame(part["path"]), part["upto"]) for part in entry["parts"]]
+
+    def _fetched(self, best: list[Row], files: list[DataFile] | None = None) -> DataFrame:
+        """The rows of hits (``id, _row, score``), each with its score."""
+        known = {(r["id"], r["_row"]): r["score"] for r in best}
+        scores = self.table.spark.createDataFrame([(*k, v) for k, v in known.items()], "id long, _row long, score double")
+        rows = self.table.fetch(self.m, [i for i, _ in known], files)
+        return rows.withColumn("_row", row_ops.digest()).join(F.broadcast(scores), ["id", "_row"])
 
     def near(self, request: QueryRequest, k: int) -> DataFrame:
         entry = self.m.indexes.get("vector")
-        fresh, whole = self.table.fresh_files(entry) if entry else ([], False)
-        # Where an upsert has rewritten indexed files, the index may hold replaced rows.
-        if not entry or not whole:
+        if not entry:
             return search.knn(self._scan(), request.vector, k)
         model = self.table.index_model(entry)
-        index = self.table.spark.read.parquet(self.table.files.at(entry["path"]))
-        found = ivf.search(index, model, request.vector, k, request.nprobes or ivf.NPROBES).select(*self._scan().columns, "score")
-        if fresh:
+        nprobes = request.nprobes or ivf.NPROBES
+        probed = F.col("part").isin(model.probes(request.vector, nprobes))
+        index = reduce(DataFrame.unionByName, (p.filter(probed) for p in self._parts(entry)))
+        found = ivf.search(index, model, request.vector, k, nprobes).select(*self.columns, "_row", "score")
+        if fresh := self.table.fresh_files(self.m, entry):
             found = search.top(found.unionByName(search.knn(self._scan(fresh), request.vector, k)), k)
         return found
 
     def bag(self, request: QueryRequest, k: int) -> DataFrame:
-        rows = self._scan()
         entry = self.m.indexes.get("vector")
-        fresh, whole = self.table.fresh_files(entry) if entry else ([], False)
-        if entry and whole:
-            # Rows with any vector in a probed partition, and all that the index lacks.
-            model = self.table.index_model(entry)
-            unit = [np.asarray(v, np.float64) / (np.linalg.norm(v) or 1) for v in request.vectors]
-            parts = sorted({p for v in unit for p in model.probes(v, request.nprobes or ivf.NPROBES)})
-            index = self.table.spark.read.parquet(self.table.files.at(entry["path"]))
-            ids = index.filter(F.col("part").isin(parts)).select("id").distinct()
-            old = [f for f in entry["files"]]
-            rows = self._scan(old).join(ids, "id", "left_semi")
-            if fresh:
-                rows = rows.unionByName(self._scan(fresh))
-        return search.maxsim(rows, request.vectors, k)
-
-    def _postings(self, entry: dict, text: str) -> DataFrame | None:
-        """``id, score`` of all matches from the postings; None where these don't cover all rows."""
-        fresh, whole = self.table.fresh_files(entry)
-        terms = query_terms(text)
-        if fresh or not whole or not terms:
-            return None
+        unit = search.unit_rows(request.vectors)
+        if not entry or unit is None:
+            return search.maxsim(self._scan(), request.vectors, k)
+        # The vectors in the probed partitions rank the rows; the best ones are read whole.
+        model = self.table.index_model(entry)
+        parts = sorted({p for v in unit for p in model.probes(v, request.nprobes or ivf.NPROBES)})
+        probed = reduce(DataFrame.unionByName, (p.filter(F.col("part").isin(parts)) for p in self._parts(entry)))
+        best = search.top(search.bag_scores(probed, unit), REFINE * k, descending=True).collect()
+        fresh = self.table.fresh_files(self.m, entry)
+        new = {f.path for f in fresh}
+        found = self._fetched(best, [f for f in self.table.data_files(self.m) if f.path not in new]).drop("score")
+        rows = found.select(*self.columns, "_row")
+        return search.maxsim(rows.unionByName(self._scan(fresh)) if fresh else rows, request.vectors, k)
+
+    def _counted(self, entry: dict, terms: list[str]) -> tuple[DataFrame, int, int]:
+        """(``id, _row, _dl, _tf`` of rows that may match, live texts, their tokens)."""
+        legs, n, total = [], 0, 0
         spark = self.table.spark
-        wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-        buckets = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()]
-        hits = spark.read.parquet(self.table.files.at(entry["path"])).filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-        # One row for each query term.
-        df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
-        score = search.bm25_term(F.col("tf"), F.col("df"), F.lit(entry["n"]), F.col("dl"), F.lit(entry["avgdl"]))
-        return hits.join(df, "term").groupBy("id").agg(F.sum(score).alias("score"))
+        for part, postings in zip(entry["parts"], self._parts(entry)):
+            n, total = n + part["n"], total + part["total"]
+            ids, stale = self.table.stale(self.m, part["upto"])
+            if stale:
+                hint = F.broadcast(ids) if stale <= row_ops.BROADCAST_IDS else ids
+                lost = spark.read.schema("id long, dl int").parquet(self.table.files.at(f"{part['path']}-lengths")).join(hint, "id", "left_semi")
+                counts = lost.agg(F.count("*"), F.sum("dl")).first()
+                n, total = n - counts[0], total - (counts[1] or 0)
+            buckets = sorted({term_bucket(t, part["buckets"]) for t in terms})
+            hits = postings.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+            tf = F.array(*(F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)) for t in terms))
+            legs.append(hits.groupBy("_n", "id", "_row", F.col("dl").alias("_dl")).agg(tf.alias("_tf")).drop("_n"))
+        if fresh := self.table.fresh_files(self.m, entry):
+            counted = search.term_counts(self._scan(fresh).select("id", "_row", "text"), terms).drop("text")
+            more = counted.agg(F.count("*"), F.sum("_dl")).first()
+            n, total = n + more[0], total + (more[1] or 0)
+            legs.append(counted)
+        return reduce(DataFrame.unionByName, legs), n, total
 
     def matching(self, text: str, k: int | None) -> DataFrame:
-        """The k best rows for a text, or ``id, score`` of all matches (k=None)."""
+        """The k best rows for a text, or ``id, _row, score`` of all matches (k=None)."""
         entry = self.m.indexes.get("fts")
         if entry is None:
             raise UnsupportedError("text search needs a full-text index")
-        scores = self._postings(entry, text)
-        if scores is None:
+        terms = query_terms(text)
+        if not terms:
             return search.bm25(self._scan(), text, k)
+        counted, n, total = self._counted(entry, terms)
+        dfs = counted.agg(*search.document_frequencies(counted, len(terms))).first()
+        scores = search.bm25_scores(counted, list(dfs), n, total / n if n else 1.0)
         if k is None:
             return scores
         # Rows are fetched for the k best alone.
-        return self._scan().join(F.broadcast(search.top(scores, k, descending=True)), "id")
+        return self._fetched(search.top(scores, k, descending=True).collect())
 
     def plan(self, request: QueryRequest) -> DataFrame:
         kind = request.query_type
         if kind == "vector":
-            hits = self.near(request, request.k)
-        elif kind == "multivector":
-            hits = self.bag(request, request.k)
-        elif kind == "fts":
-            hits = self.matching(request.text, request.k)
-        else:
-            depth = search.DEPTH * request.k
-            leg = (self.near(request, depth), False) if request.vector is not None else (self.bag(request, depth), True)
-            fused = search.rrf([leg, (self.matching(request.text, None), True)], request.k, depth)
-            # k fused rows, at most.
-            hits = self._scan().join(F.broadcast(fused), "id")
-        return hits
+            return self.near(request, request.k)
+        if kind == "multivector":
+            return self.bag(request, request.k)
+        if kind == "fts":
+            return self.matching(request.text, request.k)
+        depth = search.DEPTH * request.k
+        leg = (self.near(request, depth), False) if request.vector is not None else (self.bag(request, depth), True)
+        fused = search.rrf([leg, (self.matching(request.text, None), True)], request.k, depth, key=("id", "_row"))
+        return self._fetched(fused.collect())
 
     def hits(self, request: QueryRequest) -> list[Hit]:
         single = request.include_vector and self.m.kind == "single"
@@ -193,3 +218,9 @@ class Planner:
         best_first = request.query_type != "vector"
         rows.sort(key=lambda r: (-r["score"] if best_first else r["score"], r["id"]))
         return [Hit(r["id"], r["score"], list(r["vector"]) if single else None, r["text"], r["t"]) for r in rows[: request.k]]
+
+
+def term_bucket(term: str, buckets: int) -> int:
+    """The folder of a term's postings: Spark's xxhash64, modulo."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from skylode.functions import vector as V
 from skylode.operators import ivf, metrics, search
 from skylode.sources import rows as row_ops
+from skylode.sources.scan import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,18 +62,12 @@ def knn_cosine_exact(spark, sf_dir):
     return search.knn(vectors(spark, sf_dir), query_vector(spark, sf_dir), 10, metric="cosine", digits=6).select("id", "score")
 
 
-def knn_batch_topk(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    queries = rows.filter(F.col("id") < 5).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    return search.knn_batch(rows, queries, 10, digits=6).select("query_id", "rank", "id", "score")
-
-
 def _twentieths(rows):
     """The queries of a whole batch: every row whose id is divisible by 20."""
     return rows.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
 
 
-def knn_batch_topk_all(spark, sf_dir):
+def knn_batch_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     return search.knn_blocks(rows, _twentieths(rows), 10, digits=6).select("query_id", "rank", "id", "score")
 
@@ -162,13 +157,8 @@ def namespace_info(spark, sf_dir):
 
 
 def postings_stats(spark, sf_dir):
-    """The terms that the given SQL asks for, of two documents or more."""
-    return postings_stats_all(spark, sf_dir).filter(F.col("df") >= 2)
-
-
-def postings_stats_all(spark, sf_dir):
     rows = texts(spark, sf_dir)
-    df = search.postings(rows).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    df = search.postings(rows).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
     return df.crossJoin(F.broadcast(search.corpus_stats(rows))).select("term", "df", "cf", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -208,41 +198,47 @@ def adc_topk(spark, sf_dir):
 # Caching and measures
 
 
-def _cache_answers(rows, probes):
-    """The stored query (first 50 vectors) closest to each probe; -1 if not close enough."""
+def semantic_cache_lookup(spark, sf_dir):
+    """The stored query (first 50 vectors) closest to each other row; -1 if not close enough."""
+    rows = vectors(spark, sf_dir)
     stored = rows.filter(F.col("id") < 50).select(F.col("id").alias("entry_id"), F.col("vector").alias("stored"))
-    scored = probes.crossJoin(F.broadcast(stored)).select("id", "entry_id", F.round(V.cosine(F.col("vector"), F.col("stored")), 6).alias("similarity"))
+    scored = rows.filter(F.col("id") >= 50).crossJoin(F.broadcast(stored)).select("id", "entry_id", F.round(V.cosine(F.col("vector"), F.col("stored")), 6).alias("similarity"))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "entry_id"))).filter("n = 1")
     return best.select("id", F.when(F.col("similarity") >= 0.3, F.col("entry_id")).otherwise(-1).alias("entry_id"), "similarity")
 
 
-def semantic_cache_lookup(spark, sf_dir):
-    """The probes that the given SQL names, ids 50 to 249."""
-    rows = vectors(spark, sf_dir)
-    return _cache_answers(rows, rows.filter((F.col("id") >= 50) & (F.col("id") < 250)))
+def semantic_cache_answers(spark, sf_dir):
+    """The cache itself: the first 50 vectors are stored, the next rows, as many as a cache
+    holds, are looked up; -1 for a miss."""
+    from skylode.plans.cache import SEMANTIC_ENTRIES, SemanticCache
 
-
-def semantic_cache_lookup_all(spark, sf_dir):
-    """Every row that is not a stored entry is a probe."""
-    rows = vectors(spark, sf_dir)
-    return _cache_answers(rows, rows.filter(F.col("id") >= 50))
+    cache, gate = SemanticCache(), (10, 20, True)
+    rows = vectors(spark, sf_dir).filter(F.col("id") < 50 + SEMANTIC_ENTRIES).orderBy("id").collect()
+    for r in rows[:50]:
+        cache.insert("ns", 1, 1, r["vector"], gate, r["id"])
+    found = [(r["id"], cache.lookup("ns", 1, r["vector"], gate, 0.3)) for r in rows[50:]]
+    return spark.createDataFrame([(i, value if state == "hit" else -1) for i, (state, value) in found], "id long, entry_id long")
 
 
 def recall_at_k(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    queries = rows.filter(F.col("id") < 5).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    exact = search.knn_batch(rows, queries, 10, digits=6)
-    half = search.knn_batch(rows.filter(F.col("id") % 2 == 0), queries, 10, digits=6)
-    return metrics.recall(half, exact)
-
-
-def recall_at_k_all(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     exact = search.knn_blocks(rows, _twentieths(rows), 10, digits=6)
     half = search.knn_blocks(rows.filter(F.col("id") % 2 == 0), _twentieths(rows), 10, digits=6)
     return metrics.recall(half, exact)
 
 
+def map_at_k(spark, sf_dir):
+    """Mean average precision over three queries, with the labels of good quality as relevant."""
+    ranked = None
+    for query in ("the", "and", "que"):
+        order = Window.orderBy(F.desc("score"), "id")
+        own = search.bm25(texts(spark, sf_dir), query, 100, digits=6).select(F.lit(query).alias("query_id"), "id", F.row_number().over(order).alias("rank"))
+        ranked = own if ranked is None else ranked.unionByName(own)
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    relevant = good.crossJoin(F.broadcast(ranked.select("query_id").distinct()))
+    return metrics.mean_average_precision(ranked, relevant, 100).select(F.round("map", 6).alias("map"))
+
+
 def ndcg_at_k(spark, sf_dir):
     ranked = search.bm25(texts(spark, sf_dir), "the and", 10, digits=6).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     gains = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("gain"))
@@ -289,50 +285,139 @@ def _scratch(spark):
     return Store.scratch(spark)
 
 
+def _arrow_stream(rows: DataFrame, batch: int = 4096):
+    """``id, vector, text`` as an Arrow stream, as clients send it."""
+    import io
+
+    import pyarrow as pa
+
+    found = rows.orderBy("id").toArrow()
+    dim = len(found["vector"][0])
+    vector = pa.FixedSizeListArray.from_arrays(found["vector"].combine_chunks().flatten(), dim)
+    table = pa.table({"id": found["id"].cast(pa.uint64()), "vector": vector, "text": found["text"].cast(pa.string())})
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table, max_chunksize=batch)
+    return io.BytesIO(sink.getvalue())
+
+
+def _changed(rows: DataFrame) -> DataFrame:
+    """Every tenth row again with another text, and as many new ones."""
+    again = rows.filter(F.col("id") % 10 == 0)
+    again = again.withColumn("text", F.concat(F.lit("the second "), F.coalesce("text", F.lit(""))))
+    return again.unionByName(again.withColumn("id", F.col("id") + 10_000_000).withColumn("text", F.lit("the new one")))
+
+
+def table_import(spark, sf_dir):
+    """Two Arrow streams through ``Table.import_arrow``; every tenth id comes twice."""
+    table = _scratch(spark).table("import")
+    rows = both(spark, sf_dir)
+    table.import_arrow(_arrow_stream(rows), batch_rows=200)
+    table.import_arrow(_arrow_stream(_changed(rows)))
+    return table.read().groupBy("id").agg(F.count("*").alias("copies"), F.max(F.size("vector")).alias("dim"))
+
+
+def table_upsert(spark, sf_dir):
+    """Rows through ``Table.upsert``, some of them replaced by a second one."""
+    table = _scratch(spark).table("upsert")
+    rows = both(spark, sf_dir)
+    table.upsert(rows)
+    table.upsert(_changed(rows))
+    return table.read().select("id", "text")
+
+
+def table_info(spark, sf_dir):
+    """``Table.info`` after an upsert, a second one and both indexes."""
+    table = _scratch(spark).table("info")
+    rows = both(spark, sf_dir)
+    table.upsert(rows)
+    table.upsert(_changed(rows))
+    table.create_fts_index()
+    table.create_index(num_partitions=4)
+    i = table.info()
+    return spark.createDataFrame([(i.row_count, i.vector_dim, i.kind, i.table_version, i.has_scalar_index, i.has_fts_index, i.has_vector_index)], "row_count long, vector_dim long, kind string, table_version long, has_scalar_index boolean, has_fts_index boolean, has_vector_index boolean")
+
+
+def table_list(spark, sf_dir):
+    """All pages of 500 rows, newest first: two commits, ids within."""
+    table = _scratch(spark).table("list")
+    table.append(both(spark, sf_dir))
+    table.append(_changed(both(spark, sf_dir)))
+    seen, cursor = [], None
+    while True:
+        page = table.list(500, cursor=cursor)
+        seen += [r.id for r in page.rows]
+        cursor = page.next_cursor
+        if cursor is None:
+            return spark.createDataFrame(list(enumerate(seen, 1)), "place long, id long")
+
+
+def _searched(spark, sf_dir, name, vector_index):
+    """A table with repeated ids and replaced rows, changed again after its indexes were built."""
+    from skylode.plans.service import Service
+
+    service = Service(_scratch(spark))
+    rows = both(spark, sf_dir)
+    table = service.store.table(name)
+    table.append(rows)
+    table.append(rows.filter(F.col("id") % 7 == 0).withColumn("text", F.lit("the copy and the other")))
+    service.create_fts_index(name)
+    if vector_index:
+        service.create_index(name)
+    table.upsert(_changed(rows))
+    return service
+
+
+def table_text_search(spark, sf_dir):
+    """BM25 through the service, from postings that are older than an upsert, over repeated ids."""
+    from skylode.plans.query import QueryRequest
+
+    hits = _searched(spark, sf_dir, "texts", False).query("texts", QueryRequest(text="the and", k=50)).hits
+    return spark.createDataFrame([(h.id, h.text, round(h.score, 6)) for h in hits], "id long, text string, score double")
+
+
+def table_query_modes(spark, sf_dir):
+    """Hits of three query modes through the service, as the index probes every partition."""
+    from skylode.plans.query import QueryRequest
+
+    service = _searched(spark, sf_dir, "modes", True)
+    vector = query_vector(spark, sf_dir)
+    every = len(service.store.table("modes").index_model(service.store.table("modes").manifest().indexes["vector"]).centroids)
+    found = []
+    for mode, request in {"vector": QueryRequest(vector=vector, k=5, nprobes=every), "fts": QueryRequest(text="the and", k=5), "hybrid": QueryRequest(vector=vector, text="the and", k=5, nprobes=every)}.items():
+        found += [(mode, hit.id, round(float(hit.score), 6)) for hit in service.query("modes", request).hits]
+    return spark.createDataFrame(found, "mode string, id long, score double")
+
+
 def compact_roundtrip(spark, sf_dir):
     """Rows written in four batches, compacted: unchanged, in fewer files."""
     table = _scratch(spark).table("compact")
     rows = both(spark, sf_dir)
     for part in range(4):
         table.append(rows.filter(F.col("id") % 4 == part))
+    before = table.info().fragment_count
     table.compact()
-    return table.read().select("id", "text", F.size("vector").alias("dim"))
+    return table.read().select("id", "text", F.size("vector").alias("dim"), F.lit(table.info().fragment_count < before).alias("fewer"))
 
 
 def generation_changes(spark, sf_dir):
-    """The generation after each of three writes; all differ."""
+    """The version after each of three writes, and whether its generation is a new one."""
     table = _scratch(spark).table("generations")
-    seen = []
+    seen, out = {0}, []
     for part in range(3):
         table.upsert(vectors(spark, sf_dir).filter(F.col("id") % 3 == part).withColumn("text", F.lit(None).cast("string")))
-        seen.append((part, table.manifest().version, str(table.generation())))
-    return spark.createDataFrame(seen, "write int, version long, generation string")
-
-
-def table_query_modes(spark, sf_dir):
-    """Hits of the four query modes through the service, from a written table."""
-    from skylode.plans.query import QueryRequest
-    from skylode.plans.service import Service
-
-    service = Service(_scratch(spark))
-    service.store.table("modes").append(both(spark, sf_dir))
-    service.create_index("modes")
-    service.create_fts_index("modes")
-    vector = query_vector(spark, sf_dir)
-    found = []
-    for mode, request in {"vector": QueryRequest(vector=vector, k=5), "fts": QueryRequest(text="the and", k=5), "hybrid": QueryRequest(vector=vector, text="the and", k=5)}.items():
-        found += [(mode, hit.id, float(hit.score)) for hit in service.query("modes", request).hits]
-    return spark.createDataFrame(found, "mode string, id long, score double")
+        out.append((part, table.manifest().version, table.generation() not in seen))
+        seen.add(table.generation())
+    return spark.createDataFrame(out, "write int, version long, changed boolean")
 
 
 def queries() -> dict[str, Query]:
     own = (
-        knn_l2_exact, knn_cosine_exact, knn_batch_topk, knn_batch_topk_all, maxsim_topk, bm25_topk, bm25_multi_term, hybrid_rrf, hybrid_multivector_rrf,
+        knn_l2_exact, knn_cosine_exact, knn_batch_topk, maxsim_topk, bm25_topk, bm25_multi_term, hybrid_rrf, hybrid_multivector_rrf,
         query_without_vector, list_desc_page1, list_desc_cursor_page, list_asc_cursor_page, upsert_latest_wins,
-        import_append_keeps_duplicates, duplicate_id_detection, invalid_rows_filter, namespace_info, postings_stats, postings_stats_all, ivf_assign,
-        ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, semantic_cache_lookup_all, recall_at_k, recall_at_k_all, ndcg_at_k, bench_percentiles, topk_overlap,
-        ivf_trained_kmeans, ivf_trained_recall, compact_roundtrip, generation_changes, table_query_modes,
+        import_append_keeps_duplicates, duplicate_id_detection, invalid_rows_filter, namespace_info, postings_stats, ivf_assign,
+        ivf_probe_topk, pq_encode, adc_topk, semantic_cache_lookup, semantic_cache_answers, recall_at_k, ndcg_at_k, map_at_k, bench_percentiles, topk_overlap,
+        ivf_trained_kmeans, ivf_trained_recall, table_import, table_upsert, table_info, table_list, table_text_search, table_query_modes,
+        compact_roundtrip, generation_changes,
     )
     return {f.__name__: f for f in own}
-
-
