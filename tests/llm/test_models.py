@@ -189,32 +189,52 @@ def test_toxicity_of_messy_rows(messy, empty, labels):
 def brute_lm(rows, held):
     end = b""
     tokens = [(t or "").encode().lower().split() + [end] for _, t in rows]
-    pairs = [list(zip([end] + w[:-1], w)) for w in tokens]
-    c1, c2 = Counter(), Counter()
-    for w, p, h in zip(tokens, pairs, held):
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for w, h in zip(tokens, held):
         if not h:
             c1.update(w)
-            c2.update(p)
+            c2.update(zip([end, *w[:-1]], w))
+            c3.update(zip([end, *w[:-2]], w[:-1], w[1:]))
     n, v = sum(c1.values()), len(c1)
     base = lambda c, n: (c + 0.1) / (n + 0.1 * (v + 1))
     bucket = lambda x: 0 if x <= 0 else int(math.log2(x)) + 1
-    weights = defaultdict(lambda: [1 / 3] * 3)
+
+    def parts(words, own):
+        """(bucket of the pair before, of the word before, estimates) of each token."""
+        out = []
+        for i, w in enumerate(words):
+            u = words[i - 1] if i else end
+            t = words[i - 2] if i > 1 else end
+            wide = c2[t, u] - own if i else 0
+            counted = i and c2[t, u] >= 2 and c2[u, w] >= 2
+            three = max(c3[t, u, w] - own, 0) / max(wide, 1) if counted else 0.0
+            out.append((bucket(wide), bucket(c1[u] - own), (three, (c2[u, w] - own) / max(c1[u] - own, 1), (c1[w] - own) / max(n - own, 1), base(c1[w] - own, n - own))))
+        return out
+
+    seen = Counter(x for w, h in zip(tokens, held) if not h for x in parts(w, 1))
+    top, low = defaultdict(lambda: 0.5), defaultdict(lambda: [1 / 3] * 3)
+    top[0] = 0.0
+
+    def shares(a, b, p):
+        return [top[a] * p[0], *((1 - top[a]) * x * y for x, y in zip(low[b], p[1:]))]
+
     for _ in range(60):
-        acc = defaultdict(lambda: [0.0] * 4)
-        for (u, w), k in c2.items():
-            b = bucket(c1[u] - 1)
-            p = [(k - 1) / max(c1[u] - 1, 1), (c1[w] - 1) / max(n - 1, 1), base(c1[w] - 1, n - 1)]
-            s = [x * y for x, y in zip(weights[b], p)]
+        up, down = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0] * 3)
+        for (a, b, p), k in seen.items():
+            s = shares(a, b, p)
+            up[a][0] += k * s[0] / sum(s)
+            up[a][1] += k
             for j in range(3):
-                acc[b][j] += k * s[j] / sum(s)
-            acc[b][3] += k
-        weights = defaultdict(lambda: [1 / 3] * 3, {b: [(a[j] + 0.01) / (a[3] + 0.03) for j in range(3)] for b, a in acc.items()})
-    zero = weights[0]
-    weights[0] = [0.0, zero[1] / (zero[1] + zero[2]), zero[2] / (zero[1] + zero[2])]
+                down[b][j] += k * s[j + 1] / sum(s)
+        top = defaultdict(lambda: 0.5, {a: (x + 0.01) / (y + 0.02) for a, (x, y) in up.items()})
+        top[0] = 0.0
+        low = defaultdict(lambda: [1 / 3] * 3, {b: [(x + 0.01) / (sum(d) + 0.03) for x in d] for b, d in down.items()})
+    zero = low[0]
+    low[0] = [0.0, zero[1] / (zero[1] + zero[2]), zero[2] / (zero[1] + zero[2])]
     out = []
-    for w, p in zip(tokens, pairs):
-        mixed = [(weights[bucket(c1[u])], c2[u, x] / max(c1[u], 1), c1[x] / max(n, 1), base(c1[x], n)) for u, x in p]
-        out.append((len(w), sum(c1[x] > 0 for x in w), n, sum(math.log10(base(c1[x], n)) for x in w), sum(math.log10(l[0] * a + l[1] * b + l[2] * c) for l, a, b, c in mixed)))
+    for w, h in zip(tokens, held):
+        total = sum(math.log10(sum(shares(*x))) for x in parts(w, 0 if h else 1))
+        out.append((len(w), sum(c1[x] > 0 for x in w), n, sum(math.log10(base(c1[x], n)) for x in w), total))
     return out
 
 
@@ -238,7 +258,39 @@ def test_lm_in_one_block_and_many(documents, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     monkeypatch.setattr(interp_lm, "BLOCK_BYTES", 50_000)
     monkeypatch.setattr(interp_lm, "OWNED", 5_000)
-    assert {(r[0], round(r[6], 6)) for r in check_lm(documents)} == {(r[0], round(r[6], 6)) for r in found}
+    expected = {(r[0], round(r[6], 6)) for r in found}
+    assert {(r[0], round(r[6], 6)) for r in check_lm(documents)} == expected
+    monkeypatch.setattr(interp_lm, "FAN", 4)  # an exchange in two steps
+    assert {(r[0], round(r[6], 6)) for r in check_lm(documents)} == expected
+
+
+def test_lm_records_grow_in_proportion(spark, monkeypatch):
+    """Twice the text, so twice the blocks and owners, makes no more than about twice the records."""
+    monkeypatch.setattr(interp_lm, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(interp_lm, "FAN", 8)
+    r = np.random.default_rng(0)
+    records = []
+    for size in (1, 2):
+        texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 100)) for _ in range(400 * size)]
+        df = spark.createDataFrame([(True, i, t) for i, t in enumerate(texts)], "train boolean, doc_id long, text string").repartition(4)
+        blocks = interp_lm._blocks(df.select("doc_id", "train", "text"), "bigint").cache()
+        owners = 64 * size
+        ranges, fine = interp_lm._ranges(owners)
+        assert ranges * fine == owners and fine > 1 and ranges <= 2 * math.sqrt(2 * owners)
+        asked = blocks.mapInArrow(interp_lm._ask_words_and_pairs(ranges), interp_lm._ASKED)
+        assert interp_lm.exchange(asked, ranges, fine, blocks.count()).count() == asked.count()
+        records.append(asked.count() / blocks.count())
+    assert records[1] <= 2 * records[0]
+
+
+def test_twins_score_apart(spark):
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 400, 60)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["score"] - x["base_score"] for x in interp_lm.score(df, F.lit(False)).collect()}
+    twins = [found[i] for i in range(30)] + [found[1000 + i] for i in range(30)]
+    assert min(twins) > max(found[i] for i in range(30, 300))
 
 
 def test_lm_of_messy_rows(messy, empty):
