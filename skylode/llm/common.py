@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import re
 import tempfile
@@ -14,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylode.sources.scan import spread
+
 #: Bytes of text that one step of a Python operator holds at a time. A longer
 #: text makes a step of its own.
 SLICE_BYTES = 2 << 20
@@ -24,28 +28,97 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, for tables that cut a lineage.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (one
-    machine, tests) a local temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where all runs on one machine
+    may that be unset; a temporary folder of the session then takes its place.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='skylode-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='skylode-')}"
+    return _own_dirs[app]
+
+
+_own_dirs: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, safe from lost executors."""
+    """``df`` as a table in the shared folder: computed once, safe from lost executors.
+
+    The folder goes when the session's application ends on this driver, or before by
+    ``dropped``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skylode-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skylode-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skylode_path = path
+    if not _to_drop:
+        atexit.register(_drop_all)
+    _to_drop[path] = spark
+    return out
+
+
+#: Folders of this driver that ``written`` has made and nobody dropped yet.
+_to_drop: dict[str, SparkSession] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``written`` gave and no result reads any more."""
+    for df in tables:
+        _drop(df._skylode_path)
+
+
+def _drop(path: str) -> None:
+    spark = _to_drop.pop(path, None)
+    if spark is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_all() -> None:
+    for path in list(_to_drop):
+        with contextlib.suppress(Exception):  # the session may have gone, and its folder with it
+            _drop(path)
+
+
+#: Rows of one key that a join may bring to one task, keys of more rows that are
+#: broadcast, and salts that the rows of more such keys are dealt by.
+HUB, MANY_HUBS, SALTS = 10_000, 100_000, 64
+
+
+def hub_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one line for each key and in ``n`` its
+    number of rows.
+
+    Keys of many rows are few: their lines go to the rows, which stay in their tasks. If
+    there are many even so, these rows are dealt by salt to copies of the lines. All
+    other keys are joined as ever. So no task gathers the rows of a key.
+    """
+    hubs = keyed.filter(F.col("n") > HUB).drop("n")
+    n_hubs = hubs.count()
+    if not n_hubs:
+        return rows.join(keyed.drop("n"), key)
+    few = keyed.filter(F.col("n") <= HUB).drop("n")
+    if n_hubs <= MANY_HUBS:
+        hot = rows.join(F.broadcast(hubs), key)
+        rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
+    else:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+        dealt = rows.withColumn("_salt", salt)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        hot = dealt.join(hubs.withColumn("_salt", copies), [key, "_salt"]).drop("_salt")
+        rest = dealt.join(hubs.select(key).withColumn("_salt", copies), [key, "_salt"], "left_anti").drop("_salt")
+    return hot.unionByName(rest.join(few, key))
 
 
 def crc32_mod(column: Column, modulus: int) -> Column:

@@ -18,46 +18,82 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import bytes_of, column, text_slices, written
+from skylode.llm.common import SLICE_BYTES, bytes_of, column, dropped, hub_join, split_long, text_slices, written
 from skylode.llm.components import connected_components
 
-#: Distinct fingerprints that are compared in one go; a fuller bucket is split
-#: into chunks, and each pair of chunks compared on its own.
+#: Distinct fingerprints of a bucket that are compared as they are; those of a fuller
+#: bucket are keyed anew by a second covering of the bits they may differ in.
 BUCKET = 4096
+#: Numbers of rows that are broadcast, at most (16 MB).
+MANY_ROWS = 1_000_000
 
 
-def covering_masks(radius: int, bits: int = 64) -> list[int]:
+def covering_masks(radius: int, within: int = (1 << 64) - 1) -> list[int]:
+    """Masks of the bits ``within``: of numbers that differ in ``radius`` of these bits or
+    fewer, any two agree in all bits of one of the masks."""
     size = (1 << (radius + 1)) - 1
-    vectors = [1 + i * 7 % size for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, size + 1)]
+    places = [i for i in range(64) if within >> i & 1]
+    vectors = [1 + i * 7 % size for i in range(len(places))]
+    return [sum(1 << p for p, m in zip(places, vectors) if (m & v).bit_count() & 1) for v in range(1, size + 1)]
 
 
-def fingerprint_batch(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each text: a bit is set if over half of the shingles' XXH64 have it."""
+def second_masks(radius: int) -> list[list[int]]:
+    """For each mask the masks of the other bits. Fingerprints that agree in both are told
+    apart by the rest, some 15 of 64 bits: such a bucket holds a few ten thousand at most."""
+    return [covering_masks(radius, ~m & ((1 << 64) - 1)) for m in covering_masks(radius)]
+
+
+def _bit_counts(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each text, how many of these have each bit in their XXH64)."""
     words, counts = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = text.lower().split()
         counts[i] = len(own)
         words += own
-    out = np.zeros(len(texts), np.uint64)
+    ones = np.zeros((len(texts), 64), np.int64)
     some = np.flatnonzero(counts)
+    shingles = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     if not len(some):
-        return out
+        return shingles, ones
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    shingles = np.maximum(counts[some] - width + 1, 1)
     first_word = (np.cumsum(counts) - counts)[some]
-    before = np.cumsum(shingles) - shingles
-    at = np.repeat(first_word - before, shingles) + np.arange(int(shingles.sum()))
-    last = at + np.repeat(np.minimum(counts[some], width) - 1, shingles)
+    own = shingles[some]
+    before = np.cumsum(own) - own
+    at = np.repeat(first_word - before, own) + np.arange(int(own.sum()))
+    last = at + np.repeat(np.minimum(counts[some], width) - 1, own)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[at].tolist(), ends[last].tolist())), np.uint64, len(at))
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, before, axis=0, dtype=np.int64)
-    out[some] = np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    ones[some] = np.add.reduceat(bits, before, axis=0, dtype=np.int64)
+    return shingles, ones
+
+
+def _long_counts(text: bytes, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_bit_counts`` of one long text, part by part; each part begins with the last
+    words of those before it, and its first shingle is the first that ends in it."""
+    total, ones, tail = np.zeros(1, np.int64), np.zeros((1, 64), np.int64), []
+    for part in split_long(text):
+        words = part.split()
+        if not words:
+            continue
+        if len(tail) + len(words) < width:
+            tail += words
+            continue
+        n, own = _bit_counts([b" ".join([*tail, *words])], width, seed)
+        total, ones, tail = total + n, ones + own, (tail + words)[-(width - 1) :] if width > 1 else []
+    if not total[0] and tail:
+        return _bit_counts([b" ".join(tail)], width, seed)
+    return total, ones
+
+
+def fingerprint_batch(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text: a bit is set if over half of the shingles' XXH64 have it."""
+    long = len(texts) == 1 and len(texts[0]) > 2 * SLICE_BYTES
+    shingles, ones = _long_counts(texts[0], width, seed) if long else _bit_counts(texts, width, seed)
+    return np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _with_fingerprint(rows: DataFrame) -> DataFrame:
@@ -135,24 +171,20 @@ def _bucket_links(radius: int):
 def fingerprint_links(distinct: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints ``fp`` at ``radius`` bits or
     fewer: enough to connect whatever such pairs connect, never all pairs of a bucket."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keyed = distinct.select(
-        "fp",
-        F.explode(
-            F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in enumerate(covering_masks(radius))))
-        ).alias("k"),
-    ).select("k.t", "k.key", "fp")
-    full = written(keyed.groupBy("t", "key").count().filter(F.col("count") > bucket).withColumn("chunks", F.ceil(F.col("count") * 2 / bucket).cast("int")).drop("count"), "full")
+    mask = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    struct = lambda t, m: F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(m).alias("key"))
+    keyed = distinct.select("fp", F.explode(F.array(*(struct(t, mask(m)) for t, m in enumerate(covering_masks(radius))))).alias("k")).select("k.t", "k.key", "fp")
+    full = written(keyed.groupBy("t", "key").count().filter(F.col("count") > bucket).drop("count"), "full")
     n_full = full.count()
     plain = keyed
     if n_full:
         # Their number is a share of the fingerprints'; only a short list is broadcast.
         hint = F.broadcast(full) if n_full <= 10_000 else full
         plain = keyed.join(hint, ["t", "key"], "left_anti")
-        chunk = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
-        split = keyed.join(hint, ["t", "key"]).withColumn("c", chunk).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        split = split.select("t", "key", F.least("c", "d").alias("low"), F.greatest("c", "d").alias("high"), "fp")
-        keys = ["t", "key", "low", "high"]
+        again = F.get(F.array(*(F.array(*map(mask, own)) for own in second_masks(radius))), F.col("t").cast("int"))
+        second = F.transform(again, lambda m, i: F.struct(i.cast("byte").alias("t2"), F.col("fp").bitwiseAND(m).alias("key2")))
+        split = keyed.join(hint, ["t", "key"]).select("t", "key", "fp", F.explode(second).alias("x")).select("t", "key", "x.t2", "x.key2", "fp")
+        keys = ["t", "key", "t2", "key2"]
         heavy = split.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links(radius), "a long, b long")
     light = plain.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(radius), "a long, b long")
     return light.unionByName(heavy) if n_full else light
@@ -170,26 +202,41 @@ def near_duplicates(df: DataFrame, radius: int = 3, id_col: str = "doc_id", text
     """``doc_id, fingerprint`` (16 hex digits), ``component_id`` of every row.
 
     Fingerprints within ``radius`` bits are linked; ``component_id`` is the
-    smallest id that links reach. A null, empty or blank text has fingerprint
-    zero and is linked like any other. Repeated rows share fingerprint and
-    component; null ids keep their row and are passed over for component_id,
-    which is null where a component has no other. Other columns are not read.
+    smallest id that links reach, so ties cannot arise. A null, empty or blank text
+    has fingerprint zero and is linked like any other. Texts are read whole, long
+    ones in parts. Repeated rows share fingerprint and component; null ids keep
+    their row and are passed over for component_id, which is null where a component
+    has no other. No rows give no rows. Other columns are not read.
     """
     rows = written(_with_fingerprint(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
     classes = written(_classes(rows, radius), "classes")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(classes, "fp")
-    by_root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_fp = classes.join(by_root, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # One line a fingerprint, with its rows, and one a component, with its fingerprints.
+    least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).join(classes, "fp"), "least")
+    by_root = written(least.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "roots")
+    by_fp = written(hub_join(least.select("fp", "root", F.col("n").alias("rows")), by_root, "root").select("fp", "component_id", F.col("rows").alias("n")), "components")
+    dropped(classes, least, by_root)
+    return hub_join(rows, by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are, with one row of each component:
-    the smallest id, null ids last; of repeated ids any one."""
+    the smallest id, null ids last; of repeated ids any one.
+
+    Only row numbers are shuffled. Where up to ``MANY_ROWS`` rows go, their numbers are
+    broadcast; where more go, rows and numbers are joined.
+    """
     rows = df.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     # Written with its row numbers, as a second run might number rows otherwise.
     rows = written(_with_fingerprint(rows), "fingerprints")
     classes = _classes(rows, radius)
     choice = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row"))
-    best = rows.groupBy("fp").agg(choice.alias("best")).join(classes, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("doc.*")
+    least = rows.groupBy("fp").agg(choice.alias("best"), F.count("*").alias("rows"))
+    best = least.join(classes, "fp").groupBy("root").agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
+    best = written(best.select(F.col("best.row").alias("row"), "rows"), "best")
+    kept, every = best.agg(F.count("*"), F.sum("rows")).first()
+    if not kept or kept == every:
+        return rows.select("doc.*")
+    if every - kept <= MANY_ROWS:
+        gone = written(rows.select("row").join(best.select("row"), "row", "left_anti"), "gone")
+        return rows.join(F.broadcast(gone), "row", "left_anti").select("doc.*")
+    return rows.join(best.select("row"), "row", "left_semi").select("doc.*")

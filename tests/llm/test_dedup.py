@@ -95,6 +95,53 @@ def test_full_buckets_lose_no_link(spark):
         assert all(len({expected[v] for v in m}) == 1 for m in found)
 
 
+def test_second_covering_meets_within_the_rest():
+    r = random.Random(1)
+    first, second = simhash.covering_masks(3), simhash.second_masks(3)
+    for _ in range(2000):
+        x = r.getrandbits(64)
+        y = x
+        for b in r.sample(range(64), r.randint(0, 3)):
+            y ^= 1 << b
+        for m, own in zip(first, second):
+            if x & m == y & m:
+                assert any(x & k == y & k for k in own)
+    # What agrees in both masks has few values left.
+    assert max((64 - (m | k).bit_count()) for m, own in zip(first, second) for k in own) <= 16
+
+
+def test_hubs_are_not_gathered(spark, monkeypatch):
+    from skylode.llm import common, components
+
+    links = [(1, i) for i in range(2, 200)] + [(500 + i, 199) for i in range(50)] + [(900, 901)]
+    df = spark.createDataFrame(links, "a long, b long")
+    plain = sorted(map(tuple, connected_components(df).collect()))
+    for many in (100_000, 0):
+        monkeypatch.setattr(common, "HUB", 20)
+        monkeypatch.setattr(components, "HUB", 20)
+        monkeypatch.setattr(common, "MANY_HUBS", many)
+        assert sorted(map(tuple, connected_components(df).collect())) == plain
+        docs = spark.createDataFrame([(i, "same words in all of them") for i in range(60)] + [(100 + i, f"other {i} words {i * i} here {i}") for i in range(30)], "doc_id long, text string")
+        check(docs, simhash.near_duplicates(docs))
+
+
+def test_long_texts_in_parts(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a", "bb", "ccc", "d\n"]) for _ in range(n)).encode() for n in (0, 1, 2, 3, 5, 40, 300)]
+    whole = [simhash.fingerprint_batch([t])[0] for t in texts]
+    from skylode.llm import common
+
+    monkeypatch.setattr(simhash, "SLICE_BYTES", 0)
+    monkeypatch.setattr(simhash, "split_long", lambda t: common.split_long(t, 5))
+    assert [simhash.fingerprint_batch([t])[0] for t in texts] == whole == [fingerprint(t.decode()) for t in texts]
+
+
+def test_many_dropped_rows_are_joined(documents, monkeypatch):
+    few = sorted(r["doc_id"] for r in simhash.keep_one(documents).collect())
+    monkeypatch.setattr(simhash, "MANY_ROWS", 0)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents).collect()) == few
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(90)] + [(7, 7)]
