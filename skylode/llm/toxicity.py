@@ -171,9 +171,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([column(part, "toxic"), column(part, "h"), words], names=["toxic", "h", "words"])
 
     rows = rows.select("toxic", F.xxhash64("text").alias("h"), "text")
-    # Rows of equal texts are known by their hash; SAMPLE of them even if ids repeat.
+    # Rows of equal texts are known by their hash.
     seen = rows.mapInArrow(split, "toxic int, h long, words array<string>").groupBy("h").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
-    seen = written(seen.orderBy(F.desc("toxic"), "h").limit(SAMPLE), "words")
+    seen = written(seen, "words")
+    if seen.count() > SAMPLE:  # ids that repeat may bring more texts
+        first = seen.select("toxic", "h").orderBy(F.desc("toxic"), "h").limit(SAMPLE)
+        seen = seen.join(F.broadcast(first.select("h")), "h", "left_semi")
     nothing = OrdinalModel({}, np.array([50.0]))
     half = lambda i: F.pmod(F.col("h"), F.lit(2)) == i
     total, toxic, *halves = seen.agg(F.count("*"), F.sum("toxic"), *(x for i in (0, 1) for x in (F.count(F.when(half(i), 1)), F.sum(F.when(half(i), F.col("toxic")))))).first()

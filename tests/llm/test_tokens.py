@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -35,9 +36,49 @@ def test_transducer_counts_as_the_library():
     assert machine.count([]).tolist() == [] and machine.count(["", ""]).tolist() == [0, 0]
 
 
+def test_small_chunks_and_scans_change_nothing(monkeypatch):
+    """Short chunks compose, long texts carry their state; with no rounds all is walked."""
+    machine, sp = Transducer(open(MODEL, "rb").read()), library()
+    r = random.Random(9)
+    texts = [*odd_texts(), *("".join(r.choice(a) for _ in range(900)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "=-_", "Qqxz7"))]
+    expected = [len(sp.encode(t)) for t in texts]
+    for chunk, scan, rounds in ((4, 1 << 20, 12), (8, 100, 12), (8, 1 << 20, 0), (16, 33, 1)):
+        monkeypatch.setattr(token_transducer, "CHUNK", chunk)
+        monkeypatch.setattr(token_transducer, "SCAN", scan)
+        monkeypatch.setattr(token_transducer, "ROUNDS", rounds)
+        assert machine.count(texts).tolist() == expected
+        assert [int(machine.count([t])[0]) for t in texts] == expected
+
+
+def test_composition_is_a_scan(monkeypatch):
+    """Without a cut, chunks are not walked one after another."""
+    machine, sp = Transducer(open(MODEL, "rb").read()), library()
+    monkeypatch.setattr(Transducer, "_one_by_one", None)
+    walked = []
+    whole = Transducer._walked
+    monkeypatch.setattr(Transducer, "_walked", lambda self, chunk, *rest: walked.append(len(chunk)) or whole(self, chunk, *rest))
+    r = random.Random(2)
+    for text in ("a" * 2_000_000, "ab=" * 700_000, "".join(r.choice("abcdefghij") for _ in range(30_000))):
+        walked.clear()
+        began = time.time()
+        assert machine.count([text])[0] == len(sp.encode(text))
+        assert time.time() - began < 30
+        assert len(walked) <= 3 * token_transducer.ROUNDS
+
+
+def test_pairs_are_checked_as_by_merging():
+    machine, r = Transducer(open(MODEL, "rb").read()), random.Random(1)
+    tokens = library().encode("".join(odd_texts()) + open(__file__).read(), out_type=str)
+    pieces = [x for x in {*r.sample(sorted(machine.score), 2000), *tokens} if x in machine.score and machine.encode(x) == [x]]
+    for _ in range(6000):
+        a, b = r.choice(pieces), r.choice(pieces)
+        assert machine._check(a, b) == (machine.encode(a + b) == [a, b])
+
+
 def test_transducer_starts_anew_beyond_its_bound(monkeypatch):
     monkeypatch.setattr(token_transducer, "MAX_STATES", 10)
     machine, sp = Transducer(open(MODEL, "rb").read()), library()
+    monkeypatch.setattr(token_transducer, "SCAN", 50)
     for text in odd_texts()[:20]:
         assert machine.count([text])[0] == len(sp.encode(text))
 
