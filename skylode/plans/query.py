@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -52,10 +51,12 @@ class QueryRequest:
 
     def hash(self) -> str:
         """Key of the exact cache: all that shapes the result; floats as 32-bit."""
-        f32 = lambda v: None if v is None else np.asarray(v, np.float32).tobytes().hex()
-        many = None if self.vectors is None else [f32(v) for v in self.vectors]
-        raw = json.dumps([f32(self.vector), many, self.k, self.nprobes, self.text, self.include_vector])
-        return hashlib.blake2b(raw.encode(), digest_size=16).hexdigest()
+        h = hashlib.blake2b(repr((self.k, self.nprobes, self.text, self.include_vector, self.vector is None, self.vectors is None)).encode(), digest_size=16)
+        for v in [self.vector] if self.vector is not None else []:
+            h.update(np.asarray(v, np.float32).tobytes())
+        for v in self.vectors or []:
+            h.update(b"%d:" % len(v) + np.asarray(v, np.float32).tobytes())
+        return h.hexdigest()
 
 
 @dataclass(frozen=True)

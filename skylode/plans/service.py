@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import secrets
 import time
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -13,8 +13,9 @@ from threading import Lock
 from skylode.errors import EngineError, StorageError, ValidationError
 from skylode.operators import ivf
 from skylode.plans.cache import ExactCache, SemanticCache
+from skylode.plans.metrics import Metrics
 from skylode.plans.query import Planner, QueryRequest, ResultSet, validate, validate_semantic
-from skylode.sources.table import Info, ListPage, Store
+from skylode.sources.table import Info, ListPage, Store, Table
 
 COMPLETED_KEPT = 256
 
@@ -69,37 +70,54 @@ class Operations:
 
 
 class Service:
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, cache_dir: str | None = None):
+        """``cache_dir``: a folder of this machine where results go that memory can't hold."""
         self.store = store
-        self.exact, self.semantic = ExactCache(), SemanticCache()
+        self.exact, self.semantic = ExactCache(spill=cache_dir), SemanticCache()
         self.operations = Operations()
-        self.counters: Counter = Counter()
-        self.seconds: Counter = Counter()
+        self.metrics = Metrics()
+        self._seen: set[str] = set()
         self._pool = ThreadPoolExecutor(4, thread_name_prefix="skylode")
 
     # Reading
 
     def query(self, namespace: str, request: QueryRequest) -> Outcome:
+        began = time.perf_counter()
+        outcome = self._queried(namespace, request)
+        self.metrics.observe("query_duration_seconds", time.perf_counter() - began, namespace, request.query_type)
+        return outcome
+
+    def _table(self, namespace: str) -> Table:
         table = self.store.table(namespace)
-        validate_semantic(request)
-        kind, began = request.query_type, time.perf_counter()
+        if namespace not in self._seen:
+            self._seen.add(namespace)
+            self.metrics.set("active_namespaces", len(self._seen))
+            self.metrics.set("cached_handles", len(self.store._tables))
+        return table
+
+    def _queried(self, namespace: str, request: QueryRequest) -> Outcome:
+        table = self._table(namespace)
+        try:
+            validate_semantic(request)
+        except ValidationError:
+            self.metrics.count("semantic_cache_rejections_total", namespace, "invalid")
+            raise
         generation = table.generation()
-        self.counters["queries", kind] += 1
         key = request.hash()
         if (held := self.exact.get(namespace, generation, key)) is not None:
-            self.counters["cache_hits", "exact"] += 1
+            self.metrics.count("cache_hits_total", namespace)
             return Outcome(held.hits, "exact_cache")
-        self.counters["cache_misses", "exact"] += 1
+        self.metrics.count("cache_misses_total", namespace)
         options = request.semantic_cache
         gate = (request.k, request.nprobes or ivf.NPROBES, request.include_vector)
         semantic = options is not None and options.enabled
         if semantic:
             state, value = self.semantic.lookup(namespace, generation, request.vector, gate, options.min_similarity)
-            self.counters["semantic", state] += 1
+            self.metrics.count("semantic_cache_hits_total" if state == "hit" else "semantic_cache_misses_total", namespace)
             if state == "hit":
                 return Outcome(value.hits, "semantic_cache")
         m = table.existing()
-        self.counters["backend_requests", "query"] += 1
+        self.metrics.count("storage_requests_total", namespace, "query")
         # An unknown namespace is empty, whatever is asked of it.
         if m is None:
             return Outcome([], "backend")
@@ -109,17 +127,19 @@ class Service:
         if now == generation:
             self.exact.put(namespace, generation, key, result)
         if semantic:
-            self.semantic.insert(namespace, generation, now, request.vector, gate, result)
-        self.seconds["query", kind] += time.perf_counter() - began
+            if now == generation:
+                self.semantic.insert(namespace, generation, now, request.vector, gate, result)
+            else:
+                self.metrics.count("semantic_cache_rejections_total", namespace, "generation")
         return Outcome(result.hits, "backend")
 
     def list(self, namespace: str, **options) -> ListPage:
-        self.counters["backend_requests", "list"] += 1
-        return self.store.table(namespace).list(**options)
+        self.metrics.count("storage_requests_total", namespace, "list")
+        return self._table(namespace).list(**options)
 
     def info(self, namespace: str) -> Info | None:
-        self.counters["backend_requests", "info"] += 1
-        return self.store.table(namespace).info()
+        self.metrics.count("storage_requests_total", namespace, "info")
+        return self._table(namespace).info()
 
     def warmup(self, namespace: str, requests: Sequence[QueryRequest]) -> int:
         """Runs all queries through the read path; raises if any failed, after all ran."""
@@ -135,10 +155,16 @@ class Service:
 
     # Writing: what succeeds clears the near-duplicate cache; exact entries age by generation.
 
-    def _write(self, kind: str, namespace: str, work: Callable):
-        out = work(self.store.table(namespace))
+    def _write(self, kind: str, namespace: str, work: Callable, index: str | None = None):
+        began = time.perf_counter()
+        out = work(self._table(namespace))
         self.semantic.clear(namespace)
-        self.counters["writes", kind] += 1
+        took = time.perf_counter() - began
+        self.metrics.count("storage_requests_total", namespace, kind)
+        if index is not None:
+            self.metrics.observe("index_build_duration_seconds", took, namespace, index)
+        else:
+            self.metrics.observe("compaction_duration_seconds" if kind == "compact" else "write_duration_seconds", took, namespace)
         return out
 
     def upsert(self, namespace: str, rows) -> int:
@@ -156,17 +182,17 @@ class Service:
     def create_index(self, namespace: str, kind: str = "ivf_pq", **options) -> None:
         if kind != "ivf_pq":
             raise ValidationError("kind must be ivf_pq")
-        self._write("index", namespace, lambda t: t.create_index(**options))
+        self._write("index", namespace, lambda t: t.create_index(**options), "ivf_pq")
 
     def create_fts_index(self, namespace: str) -> None:
-        self._write("index", namespace, lambda t: t.create_fts_index())
+        self._write("index", namespace, lambda t: t.create_fts_index(), "fts")
 
     def create_scalar_index(self, namespace: str, column: str) -> None:
-        self._write("index", namespace, lambda t: t.create_scalar_index(column))
+        self._write("index", namespace, lambda t: t.create_scalar_index(column), "scalar")
 
     # Background work
 
-    def submit(self, kind: str, namespace: str, *args, **options) -> tuple[str, Future]:
+    def submit(self, kind: str, namespace: str, /, *args, **options) -> tuple[str, Future]:
         """Starts ``compact``, ``create_index``, ``import_arrow``, ``warmup`` ... and returns its id."""
         self.store.table(namespace)
         key = self.operations.start(kind, namespace)
