@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from skylode.llm.common import SequenceCache, bytes_of, column, sums_of, text_slices, texts_of
 
+#: Characters beyond which a text's pieces are not listed as a whole, and pieces of one step.
+LONG, PIECES = 4 << 20, 200_000
+
 _STEP, _MULTIPLY, _ALL = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
 
@@ -85,7 +89,8 @@ class ByteBpe:
     """Encoder and decoder for a rank file (a base64 token and its rank a line)."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.splitlines())}
         tokens = list(self.ranks)
         self.hash = MinimalPerfectHash(tokens)
@@ -153,7 +158,16 @@ class ByteBpe:
                     push(heap, (new << bits) | h)
         return [x for x in ids if x >= 0]
 
+    def encode_long(self, text: str) -> np.ndarray:
+        """The ids of one long text, some pieces at a time."""
+        found, parts = (m.group() for m in self.pattern.finditer(text)), []
+        while pieces := list(itertools.islice(found, PIECES)):
+            parts.append(self.cache.gather(pieces)[0])
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            return [self.encode_long(texts[0])]
         pieces, counts = [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             found = self.split(text)
@@ -184,9 +198,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """Token ids of every whole text: ``doc_id``, ``n_tokens``, ``token_ids``.
 
     ``token_ids`` is binary: little-endian unsigned 32-bit ids. A null or empty
-    text has no ids. Rows are independent: repeated rows give repeated results,
-    null ids are passed on, other columns of ``df`` (whatever their names) are
-    not read. No special token is recognised.
+    text has no ids. Long texts are encoded whole, some pieces at a time. Rows are
+    independent: repeated rows give repeated results, null ids are passed on, no rows
+    give none, other columns of ``df`` (whatever their names) are not read. No special
+    token is recognised.
     """
     vocabulary = _vocabulary(df, ranks_path)
 

@@ -72,6 +72,27 @@ def test_odd_texts_tokenize_as_the_library():
         assert own.tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_in_parts(monkeypatch):
+    from skylode.llm import common
+
+    lib, codec = Tokenizer.from_file(WORDS), packing.WordTokenizer(open(WORDS, "rb").read())
+    monkeypatch.setattr(packing, "SLICE_BYTES", 0)
+    monkeypatch.setattr(packing, "split_long", lambda t: common.split_long(t, 7))
+    for text in ("don't, stop. it's\n\né.\tend", " ", "word" * 30, "A.B<|endoftext|> c,d "):
+        ids, lengths = codec.encode_batch([text.encode()])
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and lengths.tolist() == [len(ids)]
+
+
+def test_marks_and_letters_tokenize_as_the_library():
+    lib, codec = Tokenizer.from_file(WORDS), packing.WordTokenizer(open(WORDS, "rb").read())
+    r = random.Random(1)
+    chars = "ab'sS é.,!\"()tT09İŉ\u0338\u0301<>=;  \t\n\x0b\x1cßÿñll've-_#`{}~^|ＡσΣ"
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(0, 50))) for _ in range(4000)]
+    ids, lengths = codec.encode_batch([t.encode() for t in texts])
+    for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_bounds_hold():
     r = random.Random(0)
     for _ in range(400):

@@ -115,6 +115,14 @@ def test_byte_bpe_as_the_library():
         assert codec.decode(ids) == text.encode()
 
 
+def test_byte_bpe_of_long_texts(monkeypatch):
+    codec = ByteBpe(open(RANKS, "rb").read(), P.PATTERN)
+    whole = [x.tolist() for x in codec.encode_batch(odd_texts())]
+    monkeypatch.setattr(byte_bpe, "LONG", 0)
+    monkeypatch.setattr(byte_bpe, "PIECES", 7)
+    assert [codec.encode_batch([t])[0].tolist() for t in odd_texts()] == whole
+
+
 def test_byte_bpe_of_messy_rows(messy, empty):
     lib = reference()
     encoded = byte_bpe.encode(messy, RANKS, P.PATTERN)
