@@ -1,10 +1,15 @@
 """The pipeline's stages, each against what its operator says of the rows it got."""
 
+import math
+import re
+
+import duckdb
 from test_dedup import classes, fingerprint
 from test_packing import check
 
 import corpus_pipeline
 from skylode.llm import quality_rules, toxicity
+from skylode.llm.oracle import QUALITY_CTES
 
 
 def test_stages(spark, documents, sf_dir):
@@ -34,6 +39,27 @@ def test_stages(spark, documents, sf_dir):
     assert {r["doc_id"] for r in whole.collect()} == kept["simhash_near_dedup"]
 
 
+def test_toxicity_stage_by_hand(spark, documents, sf_dir):
+    """The stage's rows from the learned weights and thresholds alone, in plain Python."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(documents, labels)
+    kept = set()
+    for i, text in documents.select("doc_id", "text").collect():
+        words = {w for w in re.findall(r"[^\W_]+", (text or "").lower()) if w in model.weights}
+        x = sum(model.weights[w] for w in words)
+        if not words or sum(1 / (1 + math.exp(t - x)) for t in model.thresholds) < toxicity.REJECT:
+            kept.add(i)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, documents, sf_dir).collect()} == kept
+
+
+def test_quality_stage_by_sql(spark, documents, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM '{sf_dir}/labels.parquet'")
+    kept = con.execute(f"WITH d AS (SELECT * FROM documents), {QUALITY_CTES} SELECT doc_id FROM q_judged WHERE kept").fetchall()
+    assert {r["doc_id"] for r in corpus_pipeline.drop_low_quality(spark, documents, sf_dir).collect()} == {i for (i,) in kept}
+
+
 def test_messy_rows_pass(spark, messy, empty, sf_dir):
     for docs in (messy, empty):
         for _, stage in corpus_pipeline.STAGES:
