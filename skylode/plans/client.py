@@ -13,7 +13,6 @@ from pyspark.sql import SparkSession
 from skylode.errors import EngineError, StorageError, UnsupportedError, ValidationError
 from skylode.plans.query import Hit, QueryRequest, SemanticOptions
 from skylode.plans.service import Service
-from skylode.ship import ship
 from skylode.sources import names
 from skylode.sources.arrow_import import MAX_BYTES, Limited
 from skylode.sources.table import Info, ListPage, Store
@@ -146,5 +145,4 @@ class Collection:
 def connect(path: str | None = None, *, storage_url: str | None = None, spark: SparkSession | None = None) -> Client:
     """Opens a store: an explicit URL, a local path, the environment, or ./skylode_data."""
     spark = spark or SparkSession.builder.appName("skylode").getOrCreate()
-    ship(spark)
     return Client(spark, names.storage_url(path, storage_url))
