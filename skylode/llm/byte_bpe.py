@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylode.llm.common import SequenceCache, bytes_of, column, sums_of, text_slices, texts_of
+from skylode.llm.common import SequenceCache, column, sums_of, text_slices, texts_of
 
 #: Characters beyond which a text's pieces are not listed as a whole, and pieces of one step.
 LONG, PIECES = 4 << 20, 200_000

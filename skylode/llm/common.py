@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import itertools
 import re
 import tempfile
@@ -16,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylode.sources.manifest import delete_at_exit, file_system
 from skylode.sources.scan import spread
 
 #: Bytes of text that one step of a Python operator holds at a time. A longer
@@ -54,41 +53,22 @@ _own_dirs: dict[str, str] = {}
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe from lost executors.
 
-    The folder goes when the session's application ends on this driver, or before by
-    ``dropped``.
+    The folder goes when the driver's JVM ends, or before by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skylode-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skylode_path = path
-    if not _to_drop:
-        atexit.register(_drop_all)
-    _to_drop[path] = spark
     return out
 
 
-#: Folders of this driver that ``written`` has made and nobody dropped yet.
-_to_drop: dict[str, SparkSession] = {}
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes the folders of tables that ``written`` gave and no result reads any more."""
     for df in tables:
-        _drop(df._skylode_path)
-
-
-def _drop(path: str) -> None:
-    spark = _to_drop.pop(path, None)
-    if spark is not None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _drop_all() -> None:
-    for path in list(_to_drop):
-        with contextlib.suppress(Exception):  # the session may have gone, and its folder with it
-            _drop(path)
+        fs, where = file_system(df.sparkSession, df._skylode_path)
+        fs.delete(where, True)
 
 
 #: Rows of one key that a join may bring to one task, keys of more rows that are
