@@ -21,7 +21,7 @@ from skylode.sources.manifest import DataFile, Manifest
 from skylode.sources.table import Table, schema_for
 
 MIN_SIMILARITY = 0.995
-#: Rows that a multivector index names for each hit wanted; these are scored exactly.
+#: Rows that a vector index names for each hit wanted; these are scored exactly.
 REFINE = 10
 
 
@@ -139,7 +139,9 @@ class Planner:
         nprobes = request.nprobes or ivf.NPROBES
         probed = F.col("part").isin(model.probes(request.vector, nprobes))
         index = reduce(DataFrame.unionByName, (p.filter(probed) for p in self._parts(entry)))
-        found = ivf.search(index, model, request.vector, k, nprobes).select(*self.columns, "_row", "score")
+        # Where no partition is left out, codes don't leave out rows either.
+        refine = None if nprobes >= len(model.centroids) else REFINE
+        found = ivf.search(index, model, request.vector, k, nprobes, refine).select(*self.columns, "_row", "score")
         if fresh := self.table.fresh_files(self.m, entry):
             found = search.top(found.unionByName(search.knn(self._scan(fresh), request.vector, k)), k)
         return found

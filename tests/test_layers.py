@@ -136,6 +136,32 @@ def test_vector_index_outlives_upserts(service, spark):
     check()
 
 
+def test_probing_every_partition_is_exact(service, spark):
+    """Coarse codes, so that many rows are as close by them as the nearest ones."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(4000, 8)).astype(np.float32)
+    t = service.store.table("w")
+    t.append(spark.createDataFrame([(i, v.tolist(), "fox") for i, v in enumerate(x)], "id long, vector array<float>, text string"))
+    t.create_index(num_partitions=3, num_sub_vectors=2, num_bits=4)
+    t.upsert([{"id": 9, "vector": x[0].tolist(), "text": "fox"}])
+    x[9] = x[0]
+    for q in x[:5]:
+        order = np.lexsort((np.arange(len(x)), ((x.astype(float) - q) ** 2).sum(axis=1)))
+        for nprobes in (3, None):
+            assert [h.id for h in service.query("w", QueryRequest(vector=q.tolist(), k=30, nprobes=nprobes)).hits] == order[:30].tolist()
+
+
+def test_copies_of_an_id_are_ranked_as_they_were_stored(service, spark):
+    t = service.store.table("c")
+    for text in ("fox", "fox hen hen"):
+        t.append(spark.createDataFrame([(i, [float(i), 1.0], text) for i in range(8)], "id long, vector array<float>, text string"))
+    t.create_fts_index()
+    hits = service.query("c", QueryRequest(vector=[0.0, 1.0], text="fox", k=16)).hits
+    # By vector: 0, its copy, 1, its copy; by text: the eight short ones, then the copies.
+    expected = sorted((i, ["fox", "fox hen hen"][c], round(1 / (61 + 2 * i + c) + 1 / (61 + i + 8 * c), 9)) for i in range(8) for c in (0, 1))
+    assert sorted((h.id, h.text, round(h.score, 9)) for h in hits) == expected
+
+
 def test_many_replaced_rows_build_the_index_anew(service, spark):
     t = service.store.table("r")
     t.append(many(spark, 100))
